@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, split
+from marlstone.llm import bpe, markup, split
 from marlstone.operators.versions import newest
 from marlstone.session import table
 
@@ -61,6 +61,28 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split.split_items(items, "text").drop("version")
 
 
+# --- problem 6: markup residue --------------------------------------------------------------------------------------
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of chunks and points, all versions."""
+    chunks = table(spark, sf, "chunks").select(F.lit("chunk").alias("record_kind"), F.col("chunk_id").alias("record_id"), F.col("upserted_at").alias("version"), "text")
+    points = table(spark, sf, "points").select(F.lit("point").alias("record_kind"), F.col("vec_id").alias("record_id"), F.col("upserted_at").alias("version"), "text")
+    return chunks.unionByName(points)
+
+
+@query()
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of whose newest text the cleaner took syntax of a family."""
+    cleaned = markup.clean_markup(_texts(spark, sf))
+    last = cleaned.groupBy("record_kind", "record_id").agg(F.max(F.struct("version", "markup_families")).alias("last"))
+    return last.select("record_kind", "record_id", F.explode("last.markup_families").alias("markup"))
+
+
+@query()
+def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Clean text of the newest version of every record."""
+    return markup.clean_markup(newest(_texts(spark, sf), ["record_kind", "record_id"], ["version"])).select("record_kind", "record_id", "clean_text")
+
+
 # --- problem 7: encoding the corpus ---------------------------------------------------------------------------------
 @query()
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
