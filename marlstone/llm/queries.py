@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, markup, split
+from marlstone.llm import bpe, markup, neardup, split
 from marlstone.operators.versions import newest
 from marlstone.session import table
 
@@ -61,6 +61,47 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split.split_items(items, "text").drop("version")
 
 
+# --- problem 2: near duplicates -------------------------------------------------------------------------------------
+def _chunk_sets(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = newest(table(spark, sf, "chunks").select("chunk_id", "upserted_at", "text"), ["chunk_id"], ["upserted_at"])
+    return neardup.token_sets(chunks, "chunk_id", "text", neardup.WordShingles(3, 60))
+
+
+def _file_sets(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "indexed_files").select("file_id", "user_id", "path").distinct()
+    return neardup.token_sets(files, "file_id", "path", neardup.NameGrams(3), "user_id")
+
+
+@query("""
+WITH ct AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w
+            FROM (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY upserted_at DESC) = 1)
+            WHERE text IS NOT NULL),
+     cs AS (SELECT DISTINCT chunk_id AS id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g
+            FROM ct WHERE len(w) >= 60),
+     fn AS (SELECT DISTINCT file_id AS id, user_id, regexp_replace(lower(regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '')), '[^\\p{L}\\p{N}]+', '', 'g') AS n
+            FROM indexed_files),
+     fs AS (SELECT DISTINCT id, user_id || '/' || unnest(list_transform(range(1, length(n) - 1), lambda i: substr(n, i::INT, 3))) AS g FROM fn),
+     cn AS (SELECT id, count(*) AS n FROM cs GROUP BY id), fc AS (SELECT id, count(*) AS n FROM fs GROUP BY id),
+     cp AS (SELECT x.id AS a, y.id AS b, count(*) AS s FROM cs x JOIN cs y ON x.g = y.g AND x.id < y.id GROUP BY ALL),
+     fp AS (SELECT x.id AS a, y.id AS b, count(*) AS s FROM fs x JOIN fs y ON x.g = y.g AND x.id < y.id GROUP BY ALL)
+SELECT 'chunk' AS record_kind, a AS id_a, b AS id_b FROM cp JOIN cn x ON x.id = a JOIN cn y ON y.id = b WHERE s >= 0.5 * (x.n + y.n - s)
+UNION ALL
+SELECT 'file', a, b FROM fp JOIN fc x ON x.id = a JOIN fc y ON y.id = b WHERE s >= 0.5 * (x.n + y.n - s)""")
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of chunks, and of files of one tenant, that are at least half alike."""
+    chunk = neardup.all_pairs(*neardup.similar_sets(_chunk_sets(spark, sf), 0.5))
+    file = neardup.all_pairs(*neardup.similar_sets(_file_sets(spark, sf), 0.5))
+    return chunk.select(F.lit("chunk").alias("record_kind"), "id_a", "id_b").unionByName(file.select(F.lit("file").alias("record_kind"), "id_a", "id_b"))
+
+
+@query()
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The group of changed copies of every chunk of 60 words or more and of every file."""
+    chunk = neardup.groups(*neardup.similar_sets(_chunk_sets(spark, sf), 0.5))
+    file = neardup.groups(*neardup.similar_sets(_file_sets(spark, sf), 0.5))
+    return chunk.withColumn("record_kind", F.lit("chunk")).unionByName(file.withColumn("record_kind", F.lit("file"))).select("record_kind", "id", "group_id", "links")
+
+
 # --- problem 6: markup residue --------------------------------------------------------------------------------------
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of chunks and points, all versions."""
