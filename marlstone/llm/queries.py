@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, markup, neardup, split
+from marlstone.llm import bpe, knn, markup, neardup, split
 from marlstone.operators.versions import newest
-from marlstone.session import table
+from marlstone.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -102,6 +102,43 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     return chunk.withColumn("record_kind", F.lit("chunk")).unionByName(file.withColumn("record_kind", F.lit("file"))).select("record_kind", "id", "group_id", "links")
 
 
+# --- problem 3: most similar vectors --------------------------------------------------------------------------------
+def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Newest vector of every point, and the requests' vectors, as (id, vector)."""
+    points = newest(table(spark, sf, "points").select("vec_id", "upserted_at", "vector"), ["vec_id"], ["upserted_at"])
+    requests = newest(table(spark, sf, "search_requests").select("request_id", "issued_at", "vector"), ["request_id"], ["issued_at"])
+    return materialize(points.select(F.col("vec_id").alias("id"), "vector"), "points"), requests.select(F.col("request_id").alias("id"), "vector")
+
+
+@query("""
+WITH v AS (SELECT vec_id, vector::DOUBLE[] AS v FROM (SELECT * FROM points QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY upserted_at DESC) = 1)
+           WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+     r AS (SELECT DISTINCT request_id, vector::DOUBLE[] AS v FROM search_requests
+           WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+     pp AS (SELECT a.vec_id AS q, b.vec_id AS p, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE c >= 0.9
+            QUALIFY row_number() OVER (PARTITION BY q ORDER BY c DESC, p) <= 10),
+     rp AS (SELECT request_id AS q, vec_id AS p, list_cosine_similarity(r.v, v.v) AS c FROM r, v WHERE c >= 0.9
+            QUALIFY row_number() OVER (PARTITION BY q ORDER BY c DESC, p) <= 10)
+SELECT DISTINCT 'point' AS pair_kind, least(q, p) AS id_a, greatest(q, p) AS id_b FROM pp
+UNION ALL SELECT 'search', q, p FROM rp""")
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of points, and of requests and points, of cosine 0.9 or more among the ten most similar."""
+    points, requests = _vectors(spark, sf)
+    near = knn.nearest(points, least=0.9).select(F.least("query", "point").alias("id_a"), F.greatest("query", "point").alias("id_b")).distinct()
+    asked = knn.nearest(points, requests, least=0.9).select(F.col("query").alias("id_a"), F.col("point").alias("id_b"))
+    return near.select(F.lit("point").alias("pair_kind"), "id_a", "id_b").unionByName(asked.select(F.lit("search").alias("pair_kind"), "id_a", "id_b"))
+
+
+@query()
+def p3_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten most similar points of every request and of every point whose id is divisible by 50, at any cosine."""
+    points, requests = _vectors(spark, sf)
+    some = knn.nearest(points, points.filter("id % 50 = 0"), k=knn.K + 1, **knn.WIDE).filter("query <> point")
+    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).filter(F.col("rank") <= knn.K)
+    asked = knn.nearest(points, requests, **knn.WIDE)
+    return some.withColumn("query_kind", F.lit("point")).unionByName(asked.withColumn("query_kind", F.lit("search"))).select("query_kind", "query", "rank", "point", F.round("cosine", 6).alias("cosine"))
+
+
 # --- problem 6: markup residue --------------------------------------------------------------------------------------
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of chunks and points, all versions."""
