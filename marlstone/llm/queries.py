@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, knn, markup, neardup, split
+from marlstone.llm import bpe, knn, markup, neardup, rankfuse, split
 from marlstone.operators.versions import newest
 from marlstone.session import materialize, table
 
@@ -139,6 +139,45 @@ def p3_topk(spark: SparkSession, sf: str) -> DataFrame:
     return some.withColumn("query_kind", F.lit("point")).unionByName(asked.withColumn("query_kind", F.lit("search"))).select("query_kind", "query", "rank", "point", F.round("cosine", 6).alias("cosine"))
 
 
+# --- problem 5: one ranking from several scores ---------------------------------------------------------------------
+def _fused(spark: SparkSession, sf: str) -> DataFrame:
+    return rankfuse.aggregate_ranks(table(spark, sf, "search_results"), "request_id", "vec_id", version="scored_at")
+
+
+_SCORES = """
+WITH s AS (SELECT request_id, vec_id, channel, score FROM
+             (SELECT * FROM search_results QUALIFY row_number() OVER (PARTITION BY request_id, vec_id, channel ORDER BY scored_at DESC, score DESC) = 1)
+           WHERE score IS NOT NULL AND NOT isnan(score)),
+     pts AS (SELECT DISTINCT request_id, vec_id FROM s), ch AS (SELECT DISTINCT request_id, channel FROM s)"""
+
+
+@query(_SCORES + """,
+     m AS (SELECT request_id, count(*) AS m FROM ch GROUP BY 1),
+     lost AS (SELECT a.request_id, a.vec_id, b.vec_id AS other,
+                     count(*) FILTER (WHERE sa.score IS NOT NULL AND (sb.score IS NULL OR sa.score > sb.score)) AS won
+              FROM pts a JOIN pts b ON a.request_id = b.request_id AND a.vec_id <> b.vec_id JOIN ch ON ch.request_id = a.request_id
+              LEFT JOIN s sa ON sa.request_id = a.request_id AND sa.vec_id = a.vec_id AND sa.channel = ch.channel
+              LEFT JOIN s sb ON sb.request_id = b.request_id AND sb.vec_id = b.vec_id AND sb.channel = ch.channel GROUP BY ALL)
+SELECT p.request_id, p.vec_id FROM pts p WHERE NOT EXISTS (
+  SELECT 1 FROM lost JOIN m USING (request_id) WHERE lost.request_id = p.request_id AND lost.vec_id = p.vec_id AND 2 * won <= m)""")
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of the fused ranking that beat every other point of their request."""
+    return rankfuse.majority_winners(_fused(spark, sf), "request_id", "vec_id")
+
+
+@query(_SCORES + """,
+     sz AS (SELECT request_id, count(*) AS n FROM pts GROUP BY 1),
+     r AS (SELECT p.request_id, p.vec_id, c.channel, coalesce((k.lo + (k.same - 1) / 2.0) / n, 1.0)::DOUBLE AS r FROM pts p JOIN ch c USING (request_id) JOIN sz USING (request_id)
+           LEFT JOIN (SELECT *, rank() OVER (PARTITION BY request_id, channel ORDER BY score DESC) AS lo, count(*) OVER (PARTITION BY request_id, channel, score) AS same FROM s) k USING (request_id, vec_id, channel)),
+     o AS (SELECT *, row_number() OVER (PARTITION BY request_id, vec_id ORDER BY r) AS k, count(*) OVER (PARTITION BY request_id, vec_id) AS m FROM r),
+     b AS (SELECT request_id, vec_id, m, r, (SELECT sum(factorial(m::INT) / factorial(j::INT) / factorial((m - j)::INT) * pow(r, j) * pow(1 - r, m - j)) FROM range(k, m + 1) t(j)) AS tail FROM o),
+     g AS (SELECT request_id, vec_id, round(least(1.0, min(tail) * max(m)), 12) AS sig, round(avg(r), 12) AS mean FROM b GROUP BY ALL)
+SELECT request_id, vec_id, round(sig, 6) AS significance, row_number() OVER (PARTITION BY request_id ORDER BY sig, mean, vec_id) AS "position" FROM g""")
+def p5_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """The fused ranking of every request's points."""
+    return _fused(spark, sf).select("request_id", "vec_id", F.round("significance", 6).alias("significance"), "position")
+
+
 # --- problem 6: markup residue --------------------------------------------------------------------------------------
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of chunks and points, all versions."""
