@@ -6,5 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.operators import incremental
+from marlstone.session import table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- problem 4: only new or changed records -------------------------------------------------------------------------
+@query("""
+WITH side AS (SELECT user_id, path, detected_at, event_id, type <> 'deleted' AS here, lower(content_hash) AS h FROM file_change_events
+              UNION ALL SELECT user_id, old_path, detected_at, event_id, false, NULL FROM file_change_events WHERE type = 'moved' AND old_path IS NOT NULL AND old_path <> path),
+     last AS (SELECT * FROM side QUALIFY row_number() OVER (PARTITION BY user_id, path ORDER BY detected_at DESC, event_id DESC, here DESC) = 1),
+     st AS (SELECT user_id, path, lower(content_hash) AS sh, embedding_model_version IS NOT NULL AND (NOT regexp_matches(path, '(?i)\\.(png|jpg|svg|webp)$') OR linked_notes IS NOT NULL) AS complete
+            FROM indexed_files QUALIFY row_number() OVER (PARTITION BY user_id, path ORDER BY indexed_at DESC) = 1),
+     j AS (SELECT coalesce(l.user_id, s.user_id) AS user_id, coalesce(l.path, s.path) AS path, l.user_id IS NOT NULL AS ev, coalesce(here, true) AS here, h, s.user_id IS NOT NULL AS known, sh, complete
+           FROM last l FULL JOIN st s ON l.user_id = s.user_id AND l.path = s.path)
+SELECT user_id, path, CASE WHEN here THEN 'index' ELSE 'remove' END AS action FROM j
+WHERE (here AND (NOT known OR NOT complete OR (ev AND sh IS DISTINCT FROM h))) OR (NOT here AND known)""")
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Files the next run must index or remove."""
+    return incremental.pending(table(spark, sf, "file_change_events"), table(spark, sf, "indexed_files"))
