@@ -80,9 +80,10 @@ class WordShingles:
                 continue
             if len(memory) > 500_000:
                 memory.clear()
-            for w in set(found) - memory.keys():
-                raw = w.encode()
-                memory[w] = zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x5BD1E995)
+            for w in found:
+                if w not in memory:
+                    raw = w.encode()
+                    memory[w] = zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x5BD1E995)
             h = np.array([memory[w] for w in found], np.uint64)
             n = len(h) - self.words + 1
             x = np.zeros(n, np.uint64)
