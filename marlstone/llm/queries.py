@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, knn, markup, neardup, rankfuse, split
+from marlstone.llm import bpe, knn, markup, mixing, neardup, rankfuse, split, toxicity
 from marlstone.operators.versions import newest
 from marlstone.session import materialize, table
 
@@ -212,3 +212,45 @@ def p7_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Texts decoded from their ids again."""
     ids = bpe.encode_corpus(table(spark, sf, "documents").select("doc_id", "text"))
     return ids.select("doc_id", bpe.decoder(spark)("ids").alias("text"))
+
+
+# --- problem 8: mixing sources --------------------------------------------------------------------------------------
+@query()
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of the mix and how often each is taken."""
+    sizes = mixing.token_sizes(table(spark, sf, "documents"))
+    return mixing.mix(sizes, table(spark, sf, "mix_targets")).withColumnRenamed("doc", "doc_id")
+
+
+@query()
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of every source."""
+    sizes, targets = mixing.token_sizes(table(spark, sf, "documents")), table(spark, sf, "mix_targets")
+    return mixing.shares(mixing.mix(sizes, targets), targets, sizes)
+
+
+# --- problem 9: offensive content -----------------------------------------------------------------------------------
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, table(spark, sf, "review_labels"))
+    return toxicity.score(docs.select("doc_id", "source", "text"), model)
+
+
+@query()
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that offend, one row per category."""
+    return _scored(spark, sf).select("doc_id", F.explode("offends").alias("category")).distinct()
+
+
+@query()
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of every document."""
+    return _scored(spark, sf).select("doc_id", *[F.round(f"{c}_score", 6).alias(f"{c}_score") for c in toxicity.CATEGORIES])
+
+
+@query()
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source the documents and the share of them that offends, by category."""
+    found = _scored(spark, sf)
+    rates = [F.round(F.avg(F.array_contains("offends", c).cast("double")), 6).alias(f"{c}_rate") for c in toxicity.CATEGORIES]
+    return found.groupBy("source").agg(F.count("*").alias("documents"), *rates)
