@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators.sized import BROADCAST_ROWS
+from marlstone.session import materialize
+
 
 def newest(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """One row per key: the one largest by ``order`` (nulls lowest); repeated rows count once.
@@ -19,3 +22,15 @@ def newest(df: DataFrame, keys: list[str], order: list[str] | None = None) -> Da
     rank = F.struct(*[F.col(f"`{c}`") for c in (order or [])], F.xxhash64(*[F.col(f"`{c}`") for c in rest]))
     best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), rank)
     return df.groupBy(*keys).agg(best.alias("__best")).select(*keys, "__best.*").select(*df.columns)
+
+
+def newest_of_few(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """As ``newest``, for wide tables of which few keys have several versions: the keys are counted first, and only the rows of
+    repeated ones are shuffled. If more keys are repeated than may be broadcast, it is ``newest``."""
+    rest = [c for c in df.columns if c not in keys]
+    repeated = materialize(df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > 1).select(*[F.col(k).alias(f"__{k}") for k in keys]), "repeated")
+    if not rest or repeated.count() > BROADCAST_ROWS:
+        return newest(df, keys, order)
+    same = [df[k].eqNullSafe(repeated[f"__{k}"]) for k in keys]
+    several = newest(df.join(F.broadcast(repeated), same, "left_semi"), keys, order)
+    return df.join(F.broadcast(repeated), same, "left_anti").unionByName(several)
