@@ -60,3 +60,26 @@ def hashing_embedder(dim: int = 64):
         return embed(terms(truncate_tokens(text, EMBED_TOKENS)))
 
     return of
+
+#: Dimensions of the models an index may be built with.
+MODEL_DIMENSIONS = {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072}
+
+
+class Embedders:
+    """One embedder per tenant, made by ``factory(model, key, dim)`` when it is first asked for and again when its key or model has
+    changed. An unknown model is an error."""
+
+    def __init__(self, factory=lambda model, key, dim: hashing_embedder(dim)):
+        self.factory = factory
+        self._made: dict[str, tuple[str, str, object]] = {}
+
+    def of(self, user_id: str, model: str, key: str):
+        if model not in MODEL_DIMENSIONS:
+            raise ValueError(f"unknown embedding model: {model}")
+        held = self._made.get(user_id)
+        if held is None or held[:2] != (model, key):
+            held = self._made[user_id] = (model, key, self.factory(model, key, MODEL_DIMENSIONS[model]))
+        return held[2]
+
+    def drop(self, user_id: str) -> None:
+        self._made.pop(user_id, None)

@@ -74,3 +74,8 @@ def in_batches(events: DataFrame, size: int = 100) -> DataFrame:
 
     numbered = running_position(events.withColumn("__order", F.lit(0)), ["user_id"], "__order", ["path", "type"])
     return numbered.withColumn("batch", F.floor((F.col("position") - 1) / size).cast("long")).drop("__order", "position")
+
+
+def progress(events: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Events, and those of them that are work (all but deletions)."""
+    return events.groupBy(*(by or [])).agg(F.count("*").alias("events"), F.count_if(F.col("type") != "deleted").alias("to_process"))

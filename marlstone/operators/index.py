@@ -113,3 +113,25 @@ def apply_changes(index: DataFrame, events: DataFrame, rows: DataFrame) -> DataF
     moved = move_documents(index, events.filter("type = 'moved'").select("user_id", "old_path", "path"))
     left = delete_documents(moved, events.filter("type = 'deleted'"))
     return replace_documents(left, rows, events.filter("type IN ('created', 'updated')"))
+
+
+# --- layout ---------------------------------------------------------------------------------------------------------
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns of the schema in its order; those an older version lacks are null, others are dropped."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def write_layout(index: DataFrame, location: str) -> None:
+    """The index partitioned by tenant and sorted by path inside files, so that readers prune by both. A large tenant is spread over
+    tasks by path instead of being written by one."""
+    placed = index.repartition("user_id", F.pmod(F.xxhash64("path"), F.lit(16)))
+    placed.sortWithinPartitions("user_id", "path", "chunk_index").write.mode("overwrite").partitionBy("user_id").option("compression", "zstd").parquet(location)
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """(user_id, term, field, row_id): the inverted lists of the three full-text fields."""
+    from marlstone.functions.text import terms
+
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(terms(f)).alias("terms")) for f in ("text", "title", "section_path")])
+    each = index.select("user_id", "row_id", F.explode(fields).alias("f"))
+    return each.select("user_id", F.explode("f.terms").alias("term"), F.col("f.field").alias("field"), "row_id")

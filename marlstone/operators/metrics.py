@@ -80,3 +80,31 @@ def held_for(samples: DataFrame, series: list[str], condition: Column, seconds:
 def stalled(traffic: DataFrame, up: DataFrame, ts: str = "ts") -> DataFrame:
     """Times at which there was no traffic though the service was up: a join on time of (ts, increase) and (ts, up)."""
     return traffic.filter("increase = 0").join(up.filter("up = 1"), ts, "left_semi")
+
+
+def matching(samples: DataFrame, label: str, pattern: str) -> DataFrame:
+    """Series whose label matches the whole pattern."""
+    return samples.filter(F.col(label).rlike(f"^(?:{pattern})$"))
+
+
+def clamp_max(value: Column, most: float) -> Column:
+    return F.least(value, F.lit(most))
+
+
+def uptime(started: str | Column, now: Column | None = None) -> Column:
+    """Seconds since the start."""
+    start = F.col(started) if isinstance(started, str) else started
+    return (F.unix_micros(now if now is not None else F.current_timestamp()) - F.unix_micros(start.cast("timestamp"))) / 1e6
+
+
+def any_of(rows: DataFrame, condition: Column) -> DataFrame:
+    """One row that says whether the condition holds anywhere; false for an empty table."""
+    return rows.agg(F.coalesce(F.bool_or(condition), F.lit(False)).alias("any"))
+
+
+def exposition(samples: DataFrame, name: str, kind: str, labels: list[str], value: str = "value") -> DataFrame:
+    """(line) in the text format of metrics endpoints: the type, then a line per series."""
+    pairs = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')) for c in labels])
+    lines = samples.select(F.concat(F.lit(name + "{"), pairs, F.lit("} "), F.col(value).cast("string")).alias("line"))
+    head = samples.sparkSession.createDataFrame([(f"# TYPE {name} {kind}",)], "line string")
+    return head.unionByName(lines)

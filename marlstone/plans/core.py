@@ -171,6 +171,18 @@ def tenant_isolation(spark: SparkSession, sf: str) -> DataFrame:
     return owned.agg(F.count_if(F.col("owner") != F.col("user_id")).alias("foreign_rows"), F.count("*").alias("total_rows"))
 
 
+@query(
+    _BASE
+    + r""", t AS (SELECT user_id, row_id, 'text' AS field, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM ix
+            UNION ALL SELECT user_id, row_id, 'title', unnest(list_distinct(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'))) FROM ix
+            UNION ALL SELECT user_id, row_id, 'section_path', unnest(list_distinct(regexp_extract_all(lower(section_path), '[\p{L}\p{N}]+'))) FROM ix)
+     SELECT user_id, term, field, count(*) AS postings FROM t GROUP BY ALL"""
+)
+def inverted_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Document frequencies of the inverted lists."""
+    return index.postings(index_rows(spark, sf)).groupBy("user_id", "term", "field").agg(F.count("*").alias("postings"))
+
+
 # --- context packs --------------------------------------------------------------------------------------------------
 _BUDGET = 1000
 
@@ -430,6 +442,11 @@ def event_batches(spark: SparkSession, sf: str) -> DataFrame:
     return changes.in_batches(events).groupBy("user_id", "batch").agg(F.count("*").alias("events"))
 
 
+@query("SELECT user_id, count(*) AS events, count(*) FILTER (WHERE type <> 'deleted') AS to_process FROM file_change_events GROUP BY 1")
+def event_progress(spark: SparkSession, sf: str) -> DataFrame:
+    return changes.progress(table(spark, sf, "file_change_events"), ["user_id"])
+
+
 # --- index mutations ------------------------------------------------------------------------------------------------
 def _old_new(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = chunk_rows(spark, sf).select(F.col("chunk_id").alias("row_id"), "user_id", "path", "title", "chunk_index", "text", "status")

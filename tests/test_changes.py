@@ -93,3 +93,18 @@ def test_reindex_jobs(spark):
     assert (job.status, job.total_files, job.files_processed) == ("completed", 2, 2)
     failed = corpus.reindex(state, "u", "full", None, lambda rows: 1 / 0)
     assert failed.status == "failed" and failed.errors and failed.total_files == 3
+
+
+def test_layout_and_older_schemas(spark, tmp_path):
+    old = spark.createDataFrame([("u", "p", 1), ("v", "q", 2)], "user_id string, path string, extra int")
+    rows = index.conform(old, index.SCHEMA)
+    assert rows.columns == index.SCHEMA.names
+    index.write_layout(rows, f"{tmp_path}/ix")
+    back = spark.read.schema(index.SCHEMA).parquet(f"{tmp_path}/ix").filter("user_id = 'v'")
+    assert [r.path for r in back.collect()] == ["q"]
+    assert "PartitionFilters: [isnotnull(user_id" in back._jdf.queryExecution().toString()
+
+
+def test_progress(spark):
+    df = spark.createDataFrame([("created",), ("deleted",), ("moved",)], "type string")
+    assert tuple(changes.progress(df).first()) == (3, 2)

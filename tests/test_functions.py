@@ -70,3 +70,17 @@ def test_vectors(spark):
     texts = spark.createDataFrame([("a b",), ("b a",), ("",), (None,)], "t string")
     out = [r[0] for r in texts.select(V.hashing_embedder(16)(F.col("t"))).collect()]
     assert out[0] == out[1] and out[2] is None and out[3] is None
+
+
+def test_embedders_are_kept_until_the_key_changes():
+    made = []
+    e = V.Embedders(lambda model, key, dim: made.append((model, key, dim)) or len(made))
+    assert e.of("u", "text-embedding-3-small", "k") == e.of("u", "text-embedding-3-small", "k") == 1
+    assert e.of("u", "text-embedding-3-small", "other") == 2 and made[0][2] == 1536
+    e.drop("u")
+    assert e.of("u", "text-embedding-3-small", "other") == 3
+    try:
+        e.of("u", "nope", "k")
+    except ValueError:
+        return
+    raise AssertionError

@@ -104,3 +104,12 @@ def test_poll_ticks(spark, tmp_path):
     finally:
         q.stop()
     assert len(seen) > 1 and q.exception() is None
+
+
+def test_exposition_and_selectors(spark):
+    df = spark.createDataFrame([('a"b', 3), (None, 1)], "user_id string, total long")
+    assert [r.line for r in metrics.exposition(df, "searches_total", "counter", ["user_id"], "total").collect()] == ["# TYPE searches_total counter", 'searches_total{user_id="a\\"b"} 3', 'searches_total{user_id=""} 1']
+    assert metrics.matching(df, "user_id", "a.*").count() == 1
+    assert metrics.any_of(df, F.col("total") > 2).first()[0] is True and metrics.any_of(df.limit(0), F.col("total") > 2).first()[0] is False
+    assert df.select(metrics.clamp_max(F.col("total"), 2.0)).first()[0] == 2.0
+    assert series(spark, (0, 1)).select(metrics.uptime("ts", F.lit(at(90)))).first()[0] == 90.0
