@@ -9,8 +9,9 @@ everywhere; it is compared in blocks of ``NODE`` records, so no pair is lost and
 
 Equal sets are joined first: only one representative of a class enters the trees.
 
-At similarity s a pair meets in a tree with probability s, and survives each deeper level with 1 - (1-s)^BRANCH. With 8
-trees the expected recall is 0.996 at s = 0.5 without, and 0.99 with, one level of branching, and above 0.9999 at 0.8.
+At similarity s a pair meets at the root of a tree with probability s, and survives each deeper level with 1 - (1-s)^BRANCH;
+BRANCH is 1 / s at s = 0.5, which keeps the rows of a level from growing. With 8 trees the expected recall is 0.996 at
+s = 0.5 without a level of branching and 0.976 with one; at 0.6 it is 0.999 and 0.996, at 0.8 above 0.9999.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.sized import connected_components, sized
+from marlstone.operators.versions import newest
 from marlstone.session import materialize
 
-SLOTS, TREES, BRANCH, NODE, DEPTH = 32, 8, 3, 32, 6
+SLOTS, TREES, BRANCH, NODE, DEPTH = 32, 8, 2, 32, 24
 #: Least matching nibbles of 32 in two sketches, as a share of what the threshold predicts.
 SKETCH_SHARE = 0.55
 WORDS, SIMILARITY = 5, 0.8
@@ -164,11 +166,12 @@ def _differing(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
-def _branch(level: DataFrame) -> DataFrame:
-    """Children of the records of large nodes: slots chosen by the node, named by the records' tokens there."""
+def _branch(rows: DataFrame) -> DataFrame:
+    """Children of the records of large nodes (id, sig, path): slots chosen by the node, named by the records' tokens
+    there. Carries the sketch instead of the tokens."""
     slots = [F.pmod(F.xxhash64("path", F.lit(j)), F.lit(SLOTS)).cast("int") for j in range(BRANCH)]
     children = F.array(*[F.xxhash64("path", s, F.col("sig")[s]) for s in slots])
-    return level.select("id", "sig", F.explode(F.array_distinct(children)).alias("path"))
+    return rows.select("id", _sketch(0), _sketch(1), F.explode(F.array_distinct(children)).alias("path"))
 
 
 def _pairs_in(nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -182,43 +185,56 @@ def _pairs_in(nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
 
 
 def candidate_pairs(sets: DataFrame, threshold: float, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """Distinct pairs (a < b) of ids that meet in a small node and whose sketches agree. ``sets`` is read again for
-    every level, so it should be stored; only node counts and the rows of small nodes are shuffled."""
+    """Distinct pairs (a < b) of ids that meet in a small node and whose sketches agree.
+
+    A level below the roots holds only the records of large nodes and is written once. Branching ends when no node is
+    large, or when the largest has not shrunk over two levels, or at ``depth``; what is large then is compared in
+    blocks.
+    """
     if not 0 < trees <= SLOTS:
         raise ValueError(f"1 to {SLOTS} trees")
     roots = F.array(*[F.xxhash64(F.lit(t), F.col("sig")[t * SLOTS // trees]) for t in range(trees)])
-    level = sets.select("id", "sig", F.explode(roots).alias("path"))
+    level = sets.select("id", F.explode(roots).alias("path"), _sketch(0), _sketch(1))
+    none = F.lit(0).cast("long").alias("block")
     found: list[DataFrame] = []
+    most: list[int] = []
     for d in range(depth):
         counts = level.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > NODE)
         large = sized(counts, "nodes")
+        top = large.agg(F.max("n")).first()[0]
+        if top is None:
+            found.append(level.select("path", none, "id", "s0", "s1"))
+            break
         rows = level.join(large, "path", "left")
-        found.append(rows.filter("n IS NULL").select("path", F.lit(0).alias("block"), "id", _sketch(0), _sketch(1)))
+        found.append(rows.filter("n IS NULL").select("path", none, "id", "s0", "s1"))
         rows = rows.filter("n IS NOT NULL")
-        if large.isEmpty():
-            break
-        if d == depth - 1:
+        most.append(top)
+        if d == depth - 1 or (len(most) > 2 and top >= most[-3]):
             blocks = F.ceil(F.col("n") / NODE)
-            own = F.pmod(F.xxhash64("id"), blocks)
-            rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-            rows = rows.select("path", (F.least("own", "other") * 1_000_003 + F.greatest("own", "other") + 1).alias("block"), "id", _sketch(0), _sketch(1))
-            found.append(rows)
-        else:
-            level = _branch(rows)
+            rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            block = F.least("own", "other") * 1_000_003 + F.greatest("own", "other") + 1
+            found.append(rows.select("path", block.alias("block"), "id", "s0", "s1"))
+            break
+        if d == 0:
+            with_tokens = sets.select("id", "sig", F.explode(roots).alias("path")).join(large, "path")
+        else:  # few records are left in large nodes; only their tokens are moved
+            active = sized(rows.select("id").distinct(), "active")
+            with_tokens = rows.select("id", "path").join(sets.select("id", "sig").join(active, "id", "left_semi"), "id")
+        level = materialize(_branch(with_tokens), "level")
     nodes = found[0]
     for more in found[1:]:
         nodes = nodes.unionByName(more)
-    return _pairs_in(nodes.withColumn("block", F.col("block").cast("long")), ["path", "block"], threshold).distinct()
+    return _pairs_in(nodes, ["path", "block"], threshold).distinct()
 
 
 def similar_sets(sets: DataFrame, threshold: float = SIMILARITY, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
     """Links between class representatives, and the membership of every record.
 
-    Returns ``(links, members)``: links (a, b, similarity) with a < b representatives whose sets overlap (shared /
+    ``sets`` comes from ``token_sets`` of a table with one row per id. Returns ``(links, members)``: links (a, b, similarity) with a < b representatives whose sets overlap (shared /
     all distinct) by ``threshold`` or more, and members (id, rep) with one row per record, rep being the smallest id
     among the records with an equal set. Expected misses are given in the module text; no false link is returned.
     """
-    sets = materialize(sets.dropDuplicates(["id"]), "sets")
+    sets = materialize(sets, "sets")
     classes = sets.groupBy("twin").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("twin", "rep")
     classes = sized(classes, "twins")
     members = sets.select("id", "twin").join(classes, "twin", "left").select("id", F.coalesce("rep", "id").alias("rep"))
@@ -256,8 +272,8 @@ def near_duplicates(df: DataFrame, record: str, text: str, words: int = WORDS, t
     """(id, group_id, links) of the records of ``df`` whose text has at least ``least`` words (default: ``words``).
 
     Null, empty and short texts have no set and give no row; equal texts share a group; rows repeated under one id
-    count once (which of several texts under an id is taken is not defined: pick versions before); other columns do
+    count once (of several texts under an id one is taken: pick versions before); other columns do
     not matter. An empty table gives an empty table.
     """
-    sets = token_sets(df, record, text, WordShingles(words, least or words))
+    sets = token_sets(newest(df.select(record, text), [record]), record, text, WordShingles(words, least or words))
     return groups(*similar_sets(sets, threshold))
