@@ -23,8 +23,8 @@ from marlstone.session import materialize
 
 K, TABLES, PROBES = 10, 3, 4
 BUCKET, BLOCK = 96, 4096
-#: For plain top-k, where neighbours may be far: one axis, and an eighth of its buckets in each of four tables.
-WIDE = {"bits": 7, "tables": 4, "probes": 16}
+#: For plain top-k, where neighbours may be far: one axis, and a quarter of its buckets in each of four tables.
+WIDE = {"bits": 7, "tables": 4, "probes": 32}
 #: Room for the error of 8-bit copies when a least cosine is asked for; candidates kept for each place of the result.
 SLACK, SPARE = 0.02, 3
 

@@ -21,6 +21,8 @@ from marlstone.session import materialize
 
 #: Largest rest, in tokens, that the knapsack table spans; above it the longest documents are taken first.
 TABLE = 1 << 18
+#: Documents of each length that are put back before the table is filled.
+GIVE_BACK = 4
 SEED = 20250301
 
 
@@ -40,6 +42,12 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int
             more = min(int(have[i] - taken[i]), -(-(left - table) // int(size[i])), left // int(size[i]))
             taken[i] += more
             left -= more * int(size[i])
+        for i in range(len(size)):  # a few of each length go back, so that the table has something to choose from
+            if left >= table:
+                break
+            back = min(int(taken[i]), GIVE_BACK, (table - left) // int(size[i]))
+            taken[i] -= back
+            left += back * int(size[i])
         left = int(min(left, table))
         reached = np.zeros(left + 1, bool)
         reached[0] = True

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, knn, markup, mixing, neardup, rankfuse, split, toxicity
-from marlstone.operators.versions import newest
+from marlstone.operators.versions import newest, newest_of_few
 from marlstone.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,7 +63,7 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- problem 2: near duplicates -------------------------------------------------------------------------------------
 def _chunk_sets(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = newest(table(spark, sf, "chunks").select("chunk_id", "upserted_at", "text"), ["chunk_id"], ["upserted_at"])
+    chunks = newest_of_few(table(spark, sf, "chunks").select("chunk_id", "upserted_at", "text"), ["chunk_id"], ["upserted_at"])
     return neardup.token_sets(chunks, "chunk_id", "text", neardup.WordShingles(3, 60))
 
 
@@ -105,7 +105,7 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
 # --- problem 3: most similar vectors --------------------------------------------------------------------------------
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Newest vector of every point, and the requests' vectors, as (id, vector)."""
-    points = newest(table(spark, sf, "points").select("vec_id", "upserted_at", "vector"), ["vec_id"], ["upserted_at"])
+    points = newest_of_few(table(spark, sf, "points").select("vec_id", "upserted_at", "vector"), ["vec_id"], ["upserted_at"])
     requests = newest(table(spark, sf, "search_requests").select("request_id", "issued_at", "vector"), ["request_id"], ["issued_at"])
     return materialize(points.select(F.col("vec_id").alias("id"), "vector"), "points"), requests.select(F.col("request_id").alias("id"), "vector")
 

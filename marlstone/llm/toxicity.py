@@ -59,10 +59,12 @@ def _token(m: re.Match) -> str:
     letters = [c for c in w if c.isalpha()]
     if not letters:
         return "0" if w[0].isdigit() else w
-    latin = sum(c < "ɐ" for c in letters)
-    cyrillic = sum("Ѐ" <= c <= "ԯ" for c in letters)
-    if latin and latin < len(letters):
-        w = w.translate(_TO_CYRILLIC if cyrillic > latin else _TO_LATIN)
+    latin = [c for c in letters if c < "ɐ"]
+    if latin and len(latin) < len(letters):  # letters of two alphabets: the one all of whose strangers have a look-alike
+        to_latin = all(c < "ɐ" or c in _LOOKS for c in letters)
+        to_cyrillic = all(ord(c) in _TO_CYRILLIC for c in latin)
+        more_latin = 2 * len(latin) >= len(letters)
+        w = w.translate(_TO_LATIN if to_latin and (more_latin or not to_cyrillic) or more_latin and not to_cyrillic else _TO_CYRILLIC)
     if any(c.isdigit() or c in "@$" for c in w):
         w = w.translate(_LEET)
     return w
@@ -217,7 +219,7 @@ def train(documents: list[tuple[int, str, frozenset[str]]]) -> Model:
     each = np.full((len(rows), len(names)), -1.0)
     gain = np.full(len(rows), -1.0)
     for _ in range(ROUNDS if names else 0):
-        clean = (kind == 0) & ~suspect
+        clean = ~told & ~suspect
         bytes_ = held_out([clean, *[kind == 1 + k for k in range(len(names))]])
         each = (bytes_[:, :1] - bytes_[:, 1:]) / size[:, None]
         gain, best = each.max(1), each.argmax(1)
@@ -234,7 +236,7 @@ def train(documents: list[tuple[int, str, frozenset[str]]]) -> Model:
             if 2 * found / (n + total) > best_f:
                 best_f, at = 2 * found / (n + total), top[d]
         thresholds[c], report[c] = float(min(max(at, LEAST), MOST)), best_f
-    clean = (kind == 0) & ~suspect
+    clean = ~told & ~suspect
     final = [_dictionary([text[i] for i in order if side[i]]) for side in [clean, *[kind == 1 + k for k in range(len(names))]]]
     data = {n: (d.as_bytes() if d else b"") for n, d in zip(["ordinary", *names], final)}
     kinds = {n: (zstandard.DICT_TYPE_FULLDICT if x[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT) for n, x in data.items()}
