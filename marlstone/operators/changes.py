@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import IMAGE_EXTENSIONS, base_name, extension
+from marlstone.operators.ranking import running_position
 
 KEY = ["user_id", "path"]
 
@@ -69,10 +70,10 @@ def backlinks(images: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def in_batches(events: DataFrame, size: int = 100) -> DataFrame:
-    """Events with the batch they are sent in, ``size`` a batch per tenant, in order of path."""
-    from marlstone.operators.ranking import running_position
-
-    numbered = running_position(events.withColumn("__order", F.lit(0)), ["user_id"], "__order", ["path", "type"])
+    """Events with the batch they are sent in, ``size`` a batch per tenant, in order of path. Ranges of a busy tenant are cut by the first
+    bytes of its paths."""
+    first = F.conv(F.rpad(F.hex(F.substring(F.encode("path", "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    numbered = running_position(events.withColumn("__order", first), ["user_id"], "__order", ["path", "type"])
     return numbered.withColumn("batch", F.floor((F.col("position") - 1) / size).cast("long")).drop("__order", "position")
 
 

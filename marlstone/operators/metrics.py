@@ -14,18 +14,40 @@ def _seconds(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def increments(samples: DataFrame, series: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
-    """Counter samples with the increase since the one before; a drop is a reset and counts from zero."""
-    before = F.lag(value).over(Window.partitionBy(*series).orderBy(ts))
+#: A window over a series is cut into stretches of time that are numbered apart, so a busy series is spread over tasks.
+STRETCH = 24 * 3600
+
+
+def _stretches(samples: DataFrame, ts: str, seconds: int) -> DataFrame:
+    """Samples with their stretch, and copies of those that the next stretch can look back on."""
+    size = max(STRETCH, 4 * seconds)
+    at = F.floor(_seconds(ts) / (size * 1_000_000))
+    reaches = F.floor((_seconds(ts) + seconds * 1_000_000) / (size * 1_000_000))
+    placed = samples.withColumn("__own", at).withColumn("__stretch", F.explode(F.when(reaches > at, F.array(at, reaches)).otherwise(F.array(at))))
+    return placed
+
+
+def increments(samples: DataFrame, series: list[str], ts: str = "ts", value: str = "value", tie: str | None = None) -> DataFrame:
+    """Counter samples with the increase since the one before; a drop is a reset and counts from zero, the first sample
+    counts nothing. The first of a stretch of time takes the last of the stretch before from a small table."""
+    placed = samples.withColumn("__stretch", F.floor(_seconds(ts) / (STRETCH * 1_000_000)))
+    order = [ts, tie] if tie else [ts]
+    last = placed.groupBy(*series, "__stretch").agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    carried = last.withColumn("__carried", F.lag("__last").over(Window.partitionBy(*series).orderBy("__stretch")))
+    keys = [*series, "__stretch"]
+    carried = carried.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], "__carried")
+    joined = placed.join(carried, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)]).drop(*[f"__k{i}" for i in range(len(keys))])
+    before = F.coalesce(F.lag(value).over(Window.partitionBy(*series, "__stretch").orderBy(*order)), "__carried")
     up = F.when(before.isNull(), 0.0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
-    return samples.withColumn("increase", up)
+    return joined.withColumn("increase", up).drop("__stretch", "__carried")
 
 
 def rolling_rate(events: DataFrame, series: list[str], seconds: int, ts: str = "ts", amount: Column | None = None) -> DataFrame:
     """Per event the amount of its series over the trailing window, and that per second. The window holds (t - s, t]."""
-    span = Window.partitionBy(*series).orderBy(_seconds(ts)).rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    span = Window.partitionBy(*series, "__stretch").orderBy(_seconds(ts)).rangeBetween(-(seconds * 1_000_000 - 1), 0)
     total = F.sum(amount if amount is not None else F.lit(1)).over(span)
-    return events.withColumn("in_window", total).withColumn("rate", total / float(seconds))
+    counted = _stretches(events, ts, seconds).withColumn("in_window", total).filter("__stretch = __own OR __own IS NULL")
+    return counted.withColumn("rate", F.col("in_window") / float(seconds)).drop("__own", "__stretch")
 
 
 def increase(events: DataFrame, labels: list[str], width: str, ts: str = "ts", amount: Column | None = None) -> DataFrame:
@@ -71,10 +93,12 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 def held_for(samples: DataFrame, series: list[str], condition: Column, seconds: int, ts: str = "ts") -> DataFrame:
     """Samples with ``firing``: the condition has held in every sample of the trailing time, and the series is that old."""
-    span = Window.partitionBy(*series).orderBy(_seconds(ts)).rangeBetween(-(seconds * 1_000_000), 0)
-    since = F.min(_seconds(ts)).over(Window.partitionBy(*series).orderBy(_seconds(ts)).rangeBetween(Window.unboundedPreceding, 0))
-    old = _seconds(ts) - since >= seconds * 1_000_000
-    return samples.withColumn("__c", condition).withColumn("firing", F.min("__c").over(span) & old).drop("__c")
+    span = Window.partitionBy(*series, "__stretch").orderBy(_seconds(ts)).rangeBetween(-(seconds * 1_000_000), 0)
+    born = samples.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(series)]).agg(F.min(_seconds(ts)).alias("__born"))
+    checked = _stretches(samples.withColumn("__c", condition), ts, seconds).withColumn("__held", F.min("__c").over(span)).filter("__stretch = __own OR __own IS NULL")
+    joined = checked.join(born, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(series)]).drop(*[f"__k{i}" for i in range(len(series))])
+    old = _seconds(ts) - F.col("__born") >= seconds * 1_000_000
+    return joined.withColumn("firing", F.col("__held") & old).drop("__c", "__held", "__own", "__stretch", "__born")
 
 
 def stalled(traffic: DataFrame, up: DataFrame, ts: str = "ts") -> DataFrame:

@@ -31,10 +31,10 @@ def running_position(df: DataFrame, keys: list[str], order: str, ties: list[str]
         ranges = cut.join(hot, [cut[k].eqNullSafe(hot[k]) for k in keys], "left_semi").groupBy(*keys, "__range").agg(add.alias("__sum"))
         before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
         ranges = ranges.select(*keys, "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+        ranges = ranges.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__range"])], "__before")
     inside = Window.partitionBy(*keys, "__range").orderBy(order, *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
     numbered = cut.withColumn(out, (F.sum(weight) if weight else F.count("*")).over(inside))
     if ranges is None:
         return numbered.drop("__range")
-    same = [numbered[k].eqNullSafe(ranges[k]) for k in [*keys, "__range"]]
-    joined = numbered.join(ranges, same, "left")
-    return joined.select(*[numbered[c] for c in df.columns if c != out], (numbered[out] + F.coalesce("__before", F.lit(0))).alias(out))
+    joined = numbered.join(ranges, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, "__range"])], "left")
+    return joined.select(*[c for c in df.columns if c != out], (F.col(out) + F.coalesce("__before", F.lit(0))).alias(out))

@@ -135,23 +135,25 @@ def lexical(queries: DataFrame, index: DataFrame, filters: Filters | None = None
     """(query_id, rank, row_id, score, payload): the first k rows by (path, chunk_index) of which one field holds all terms
     of the query. Fields are text, title and section_path; the score is 1.
 
-    Each field is joined by the query's rarest term only, then all terms are checked inside the row, so a frequent word makes no
+    ``k`` is at most the largest limit of a request. Each field is joined by the query's rarest term only, then all terms are checked inside the row, so a frequent word makes no
     hot key. A query without terms matches nothing.
     """
     rows = _filtered(index, filters, folder_mode)
     q = queries.select("user_id", "query_id", (F.col("k") * overfetch).alias("k"), F.array_distinct(terms("query_text")).alias("terms")).filter(F.size("terms") > 0)
     wanted = q.select("user_id", F.explode("terms").alias("term")).distinct()
-    fields_ = [F.array_distinct(terms(F.coalesce(f, F.lit("")))) for f in ("text", "title", "section_path")]
-    held = rows.select("user_id", "row_id", "path", "chunk_index", F.array(*fields_).alias("fields"))
-    posted = held.select("user_id", "row_id", F.explode(F.array_distinct(F.flatten("fields"))).alias("term")).join(wanted, ["user_id", "term"])
+    names = ("text", "title", "section_path")
+    fields_ = F.array(*[F.array_distinct(terms(F.coalesce(f, F.lit("")))) for f in names])
+    posted = rows.select("user_id", "row_id", F.explode(F.array_distinct(F.flatten(fields_))).alias("term")).join(wanted, ["user_id", "term"])
     often = posted.groupBy("user_id", "term").agg(F.count("*").alias("df"))
     named = q.withColumn("term", F.explode("terms")).join(often, ["user_id", "term"], "left")
     rarest = named.groupBy("user_id", "query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"), F.min(F.coalesce("df", F.lit(0))).alias("df"))
     keyed = q.join(rarest.filter("df > 0").drop("df"), ["user_id", "query_id"])
-    hits = posted.join(keyed.select("user_id", "term", "query_id", "k", "terms"), ["user_id", "term"]).join(held.drop("user_id"), "row_id")
-    hits = hits.filter(F.exists("fields", lambda f: F.size(F.array_except("terms", f)) == 0))
+    # texts are moved only for rows that hold a rarest term
+    hits = posted.join(keyed.select("user_id", "term", "query_id", "k", "terms"), ["user_id", "term"]).join(rows.select("row_id", "path", "chunk_index", *names), "row_id")
+    hits = hits.filter(F.exists(fields_, lambda f: F.size(F.array_except("terms", f)) == 0))
     order = Window.partitionBy("query_id").orderBy("path", "chunk_index", "row_id")
-    ranked = hits.select("query_id", "row_id", "path", "chunk_index", "k").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("k"))
+    # the fixed bound lets every task drop what cannot be among the first before the exchange
+    ranked = hits.select("query_id", "row_id", "path", "chunk_index", "k").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= OVERFETCH * LIMIT_RANGE[1]).filter(F.col("rank") <= F.col("k"))
     out = ranked.select("query_id", "rank", "row_id").join(rows.select("row_id", *RESULT), "row_id").withColumn("score", F.lit(1.0))
     if folder_mode == "post":
         out = out.filter((filters or Filters()).in_folder())

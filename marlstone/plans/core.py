@@ -12,7 +12,7 @@ from marlstone.functions import text as T
 from marlstone.functions.vector import hashing_embedder
 from marlstone.operators import changes, chunking, context, corpus, evaluate, incremental, index, metrics, packing, search
 from marlstone.operators.versions import newest
-from marlstone.session import shared_dir, table
+from marlstone.session import materialize, shared_dir, table
 from marlstone.sources import registry
 from marlstone.streaming import jobs
 
@@ -31,18 +31,22 @@ def query(sql: str | None = None):
 
 
 # --- relations ------------------------------------------------------------------------------------------------------
-def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return newest(table(spark, sf, "chunks"), ["chunk_id"], ["upserted_at"])
+def chunk_rows(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Newest version of every chunk; only the columns named are read and moved."""
+    rows = table(spark, sf, "chunks")
+    if columns:
+        rows = rows.select("chunk_id", "upserted_at", *columns)
+    return newest(rows, ["chunk_id"], ["upserted_at"])
 
 
 def index_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The index: chunks of notes, which carry metadata, and points of other files, which carry vectors."""
+    """The index, written once: chunks of notes, which carry metadata, and points of other files, which carry vectors."""
     notes = chunk_rows(spark, sf).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumn("vector", F.lit(None).cast("array<float>")).withColumnRenamed("chunk_id", "row_id")
     points = newest(table(spark, sf, "points"), ["vec_id"], ["upserted_at"]).withColumnRenamed("vec_id", "row_id")
     none = {c: F.lit(None).cast("string") for c in ("project", "status", "type", "content_hash", "extra_metadata")}
     points = points.withColumns({**none, "tags": F.array().cast("array<string>")})
     names = index.SCHEMA.fieldNames()
-    return notes.select(*names).unionByName(points.select(*names))
+    return materialize(notes.select(*names).unionByName(points.select(*names)), "index")
 
 
 def request_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,7 +192,7 @@ _BUDGET = 1000
 
 
 def _pool(spark: SparkSession, sf: str) -> DataFrame:
-    return search.hybrid(term_requests(spark, sf).withColumn("k", F.lit(search.CONTEXT_POOL)), index_rows(spark, sf))
+    return materialize(search.hybrid(term_requests(spark, sf).withColumn("k", F.lit(search.CONTEXT_POOL)), index_rows(spark, sf)), "pool")
 
 
 _NOTES = (
@@ -267,7 +271,7 @@ def chunk_lines(spark: SparkSession, sf: str) -> DataFrame:
 )
 def chunk_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraphs of every chunk packed up to 100 tokens."""
-    rows = chunk_rows(spark, sf).filter("text IS NOT NULL")
+    rows = chunk_rows(spark, sf, "text").filter("text IS NOT NULL")
     return rows.select("chunk_id", F.posexplode(packing.pack_paragraphs("text", 100)).alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
@@ -282,7 +286,7 @@ def chunk_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 )
 def section_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Short sections of a note joined to the one before."""
-    rows = chunk_rows(spark, sf).filter("text IS NOT NULL").withColumn("tokens", T.token_count("text").cast("long")).withColumn("section_path", F.coalesce("section_path", F.lit("")))
+    rows = chunk_rows(spark, sf, "user_id", "path", "chunk_index", "section_path", "text").filter("text IS NOT NULL").withColumn("tokens", T.token_count("text").cast("long")).withColumn("section_path", F.coalesce("section_path", F.lit("")))
     rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy("user_id", "path").orderBy("chunk_index", "chunk_id")))
     return packing.merge_short(rows, ["user_id", "path"], "ord", "tokens", "section_path", "text").withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
@@ -301,7 +305,7 @@ def chunk_csv_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 def _documents_json(spark: SparkSession, sf: str, field: str) -> DataFrame:
     """Every note as JSON: its chunks' texts and, between them, a node that is no text."""
-    rows = chunk_rows(spark, sf).select("user_id", "path", F.struct("chunk_index", "chunk_id", F.lit("text").alias("type"), "text", (F.col("chunk_id") % 7 == 0).alias("isDeleted")).alias("x"))
+    rows = chunk_rows(spark, sf, "user_id", "path", "chunk_index", "text").select("user_id", "path", F.struct("chunk_index", "chunk_id", F.lit("text").alias("type"), "text", (F.col("chunk_id") % 7 == 0).alias("isDeleted")).alias("x"))
     other = rows.withColumn("x", F.struct(F.col("x.chunk_index"), (-F.col("x.chunk_id")).alias("chunk_id"), F.lit("group").alias("type"), F.lit("frame").alias("text"), F.lit(False).alias("isDeleted")))
     listed = rows.unionByName(other).groupBy("user_id", "path").agg(F.array_sort(F.collect_list("x")).alias(field))
     return listed.select("user_id", "path", F.to_json(F.struct(field)).alias("content"), T.stem("path").alias("name"))
@@ -420,7 +424,7 @@ def stable_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _embedded(spark: SparkSession, sf: str) -> DataFrame:
-    return chunk_rows(spark, sf).filter("text IS NOT NULL").select("user_id", F.concat("path", F.lit("#"), "chunk_id").alias("path"), F.col("text").alias("content"))
+    return chunk_rows(spark, sf, "user_id", "path", "text").filter("text IS NOT NULL").select("user_id", F.concat("path", F.lit("#"), "chunk_id").alias("path"), F.col("text").alias("content"))
 
 
 @query(
@@ -449,7 +453,7 @@ def event_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- index mutations ------------------------------------------------------------------------------------------------
 def _old_new(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = chunk_rows(spark, sf).select(F.col("chunk_id").alias("row_id"), "user_id", "path", "title", "chunk_index", "text", "status")
+    rows = chunk_rows(spark, sf, "user_id", "path", "title", "chunk_index", "text", "status").select(F.col("chunk_id").alias("row_id"), "user_id", "path", "title", "chunk_index", "text", "status")
     return rows.filter("row_id % 3 <> 0"), rows.filter("row_id % 5 = 0").withColumn("text", F.concat(F.lit("new "), F.coalesce("text", F.lit(""))))
 
 
@@ -471,14 +475,14 @@ def replace_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_OLDNEW + " SELECT c.* FROM c LEFT JOIN (SELECT user_id, path, min(chunk_index) + 1 AS m FROM c GROUP BY ALL HAVING min(row_id) % 2 = 0) s USING (user_id, path) WHERE m IS NULL OR chunk_index < m")
 def stale_tail(spark: SparkSession, sf: str) -> DataFrame:
-    rows = chunk_rows(spark, sf).select(F.col("chunk_id").alias("row_id"), "user_id", "path", "title", "chunk_index", "text", "status")
+    rows = chunk_rows(spark, sf, "user_id", "path", "title", "chunk_index", "text", "status").select(F.col("chunk_id").alias("row_id"), "user_id", "path", "title", "chunk_index", "text", "status")
     sizes = rows.groupBy("user_id", "path").agg((F.min("chunk_index") + 1).alias("n"), F.min("row_id").alias("r")).filter("r % 2 = 0")
     return index.stale_tail(rows, sizes)
 
 
 @query(_OLDNEW + " SELECT row_id, user_id, path, title, chunk_index, text, CASE WHEN chunk_index >= 2 AND user_id = 'u-harbor' THEN 'archived' ELSE status END AS status FROM c")
 def patch_payload(spark: SparkSession, sf: str) -> DataFrame:
-    rows = chunk_rows(spark, sf).select(F.col("chunk_id").alias("row_id"), "user_id", "path", "title", "chunk_index", "text", "status")
+    rows = chunk_rows(spark, sf, "user_id", "path", "title", "chunk_index", "text", "status").select(F.col("chunk_id").alias("row_id"), "user_id", "path", "title", "chunk_index", "text", "status")
     return index.patch_payload(rows, (F.col("chunk_index") >= 2) & (F.col("user_id") == "u-harbor"), status="archived")
 
 
@@ -492,13 +496,13 @@ def move_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_OLDNEW + " SELECT user_id, count(*) AS rows_left FROM c WHERE NOT (user_id = 'u-harbor' AND status = 'archived') OR status IS NULL GROUP BY 1")
 def delete_by_filter(spark: SparkSession, sf: str) -> DataFrame:
-    rows = chunk_rows(spark, sf)
+    rows = chunk_rows(spark, sf, "user_id", "status")
     return index.delete_where(rows, "u-harbor", F.col("status") == "archived").groupBy("user_id").agg(F.count("*").alias("rows_left"))
 
 
 @query("SELECT user_id, count(*) AS rows_left FROM (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY upserted_at DESC) = 1) WHERE user_id <> 'u-harbor' AND user_id <> '' GROUP BY 1")
 def purge_tenant(spark: SparkSession, sf: str) -> DataFrame:
-    return index.purge_unowned(index.purge_tenant(chunk_rows(spark, sf), "u-harbor")).groupBy("user_id").agg(F.count("*").alias("rows_left"))
+    return index.purge_unowned(index.purge_tenant(chunk_rows(spark, sf, "user_id"), "u-harbor")).groupBy("user_id").agg(F.count("*").alias("rows_left"))
 
 
 @query("""
@@ -509,29 +513,29 @@ def patch_metadata(spark: SparkSession, sf: str) -> DataFrame:
     old = F.map_filter(F.create_map(F.lit("project"), F.col("project"), F.lit("status"), F.col("status")), lambda _, v: v.isNotNull())
     patch = F.when(F.col("chunk_id") % 2 == 1, F.create_map(F.lit("status"), F.lit(None).cast("string"), F.lit("reviewed"), F.lit("yes"))).otherwise(F.create_map().cast("map<string,string>"))
     merged = F.array_sort(F.map_entries(index.patch_metadata(old, patch)))
-    return chunk_rows(spark, sf).select("chunk_id", F.array_join(F.transform(merged, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("metadata"))
+    return chunk_rows(spark, sf, "project", "status").select("chunk_id", F.array_join(F.transform(merged, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("metadata"))
 
 
 # --- scalar functions -----------------------------------------------------------------------------------------------
 @query(r"SELECT DISTINCT chunk_id, regexp_replace(regexp_replace(regexp_replace(text, '!\[\[[^\]]*\]\]', '', 'g'), '\[\[([^\]|]+)\|([^\]]+)\]\]', '\2', 'g'), '\[\[([^\]]+)\]\]', '\1', 'g') AS text FROM chunks WHERE text IS NOT NULL")
 def plain_wiki(spark: SparkSession, sf: str) -> DataFrame:
-    return chunk_rows(spark, sf).filter("text IS NOT NULL").select("chunk_id", T.plain_wiki("text").alias("text"))
+    return chunk_rows(spark, sf, "text").filter("text IS NOT NULL").select("chunk_id", T.plain_wiki("text").alias("text"))
 
 
 @query(f"SELECT chunk_id, any_value({_SECTION}) AS section FROM (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY upserted_at DESC) = 1) GROUP BY chunk_id")
 def classify_section(spark: SparkSession, sf: str) -> DataFrame:
-    return chunk_rows(spark, sf).select("chunk_id", T.section_of("type", "path").alias("section"))
+    return chunk_rows(spark, sf, "type", "path").select("chunk_id", T.section_of("type", "path").alias("section"))
 
 
 @query("SELECT DISTINCT chunk_id, sha256(text) AS sha FROM chunks WHERE text IS NOT NULL")
 def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    return chunk_rows(spark, sf).filter("text IS NOT NULL").select("chunk_id", T.content_hash("text").alias("sha"))
+    return chunk_rows(spark, sf, "text").filter("text IS NOT NULL").select("chunk_id", T.content_hash("text").alias("sha"))
 
 
 @query()
 def point_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Name-based ids of all chunks."""
-    return index.with_ids(chunk_rows(spark, sf)).select("chunk_id", "point_id")
+    return index.with_ids(chunk_rows(spark, sf, "user_id", "path", "chunk_index")).select("chunk_id", "point_id")
 
 
 @query(rf"SELECT doc_id, len(regexp_extract_all(text, {_TOK})) AS tokens, len(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'))) AS terms FROM documents WHERE text IS NOT NULL")
@@ -547,10 +551,10 @@ def file_types(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- evaluation -----------------------------------------------------------------------------------------------------
 def _channel_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, channel, rank, path) of scored points per channel, path standing for the point."""
+    """(query_id, channel, rank, path) of the first ten scored points per channel, path standing for the point."""
     last = table(spark, sf, "search_results").groupBy("request_id", "vec_id", "channel").agg(F.max(F.struct("scored_at", "score")).alias("l"))
     scored = last.filter("l.score IS NOT NULL AND NOT isnan(l.score)").select(F.col("request_id").alias("query_id"), "channel", F.col("vec_id").alias("path"), F.col("l.score").alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "channel").orderBy(F.desc("score"), "path")))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "channel").orderBy(F.desc("score"), "path"))).filter(F.col("rank") <= evaluate.DEPTH)
 
 
 _RECALL = """
@@ -637,8 +641,7 @@ WITH i AS (SELECT *, CASE WHEN prev IS NULL THEN 0.0 WHEN value < prev THEN valu
 SELECT user_id, round(sum(up), 4) AS increase FROM i GROUP BY 1""")
 def counter_resets(spark: SparkSession, sf: str) -> DataFrame:
     """Values of a user as a counter: drops are resets."""
-    ordered = table(spark, sf, "events").withColumn("at", F.struct("ts", "event_id"))
-    return metrics.increments(ordered, ["user_id"], ts="at").groupBy("user_id").agg(F.round(F.sum("increase"), 4).alias("increase"))
+    return metrics.increments(table(spark, sf, "events"), ["user_id"], tie="event_id").groupBy("user_id").agg(F.round(F.sum("increase"), 4).alias("increase"))
 
 
 @query("""
