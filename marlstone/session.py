@@ -57,9 +57,18 @@ def delete_path(spark: SparkSession, location: str) -> None:
     fs.delete(path, True)
 
 
-def _forget(spark: SparkSession, location: str) -> None:
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables ``materialize`` has written so far. For long sessions, between queries whose results are no longer read."""
+    while _WRITTEN:
+        delete_path(spark, _WRITTEN.pop())
+
+
+def _forget(spark: SparkSession) -> None:
     try:
-        delete_path(spark, location)
+        release(spark)
     except Exception:  # the session may be gone by the time the interpreter ends
         pass
 
@@ -72,6 +81,8 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     location = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_forget, spark)
+    _WRITTEN.append(location)
     df.write.option("compression", "zstd").parquet(location)
-    atexit.register(_forget, spark, location)
     return spark.read.schema(df.schema).parquet(location)
