@@ -268,12 +268,19 @@ def groups(links: DataFrame, members: DataFrame) -> DataFrame:
     return named.select("id", F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
+def every_record(ids: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Rows of ``groups`` for all of ``ids`` (id): records without a set are groups of their own."""
+    all_ids = ids.filter("id IS NOT NULL").distinct()
+    return all_ids.join(grouped, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def near_duplicates(df: DataFrame, record: str, text: str, words: int = WORDS, threshold: float = SIMILARITY, least: int | None = None) -> DataFrame:
-    """(id, group_id, links) of the records of ``df`` whose text has at least ``least`` words (default: ``words``).
+    """(id, group_id, links), one row per record of ``df``.
 
-    Null, empty and short texts have no set and give no row; equal texts share a group; rows repeated under one id
-    count once (of several texts under an id one is taken: pick versions before); other columns do
-    not matter. An empty table gives an empty table.
+    Texts of fewer than ``least`` words (default: ``words``), empty and null ones have no set and are groups of their own;
+    equal texts share a group; rows repeated under one id count once (of several texts under an id one is taken: pick
+    versions before); null ids give no row; other columns do not matter. An empty table gives an empty table.
     """
-    sets = token_sets(newest(df.select(record, text), [record]), record, text, WordShingles(words, least or words))
-    return groups(*similar_sets(sets, threshold))
+    rows = newest(df.select(F.col(f"`{record}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")), ["id"])
+    sets = token_sets(rows, "id", "text", WordShingles(words, least or words))
+    return every_record(rows.select("id"), groups(*similar_sets(sets, threshold)))

@@ -96,9 +96,11 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """The group of changed copies of every chunk of 60 words or more and of every file."""
+    """The group of changed copies of every chunk and of every file; chunks of fewer than 60 words are alone."""
     chunk = neardup.groups(*neardup.similar_sets(_chunk_sets(spark, sf), 0.5))
     file = neardup.groups(*neardup.similar_sets(_file_sets(spark, sf), 0.5))
+    chunk = neardup.every_record(table(spark, sf, "chunks").select(F.col("chunk_id").alias("id")), chunk)
+    file = neardup.every_record(table(spark, sf, "indexed_files").select(F.col("file_id").alias("id")), file)
     return chunk.withColumn("record_kind", F.lit("chunk")).unionByName(file.withColumn("record_kind", F.lit("file"))).select("record_kind", "id", "group_id", "links")
 
 
