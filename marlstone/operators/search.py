@@ -85,11 +85,11 @@ def _top_k(group: pa.Table) -> pa.Table:
         return schema.empty_table()
     ids, k = group.column("id").to_numpy(), group.column("k").to_pandas().fillna(0).to_numpy().astype(int)
     least = group.column("least").to_pandas().fillna(-2.0).to_numpy()
-    lists = group.column("vector").to_pylist()
+    vectors = group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
     q, p = np.flatnonzero(is_query), np.flatnonzero(~is_query)
-    a, b = np.array([lists[i] for i in q], float), np.array([lists[i] for i in p], float)
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    a, b = vectors[q], vectors[p]
+    a = a / np.linalg.norm(a, axis=1, keepdims=True)
+    b = b / np.linalg.norm(b, axis=1, keepdims=True)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(q), 512):
         s = a[at : at + 512] @ b.T

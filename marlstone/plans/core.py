@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.functions.vector import hashing_embedder
 from marlstone.operators import changes, chunking, context, corpus, evaluate, incremental, index, metrics, packing, search
-from marlstone.operators.versions import newest
+from marlstone.operators.versions import newest, newest_of_few
 from marlstone.session import materialize, shared_dir, table
 from marlstone.sources import registry
 from marlstone.streaming import jobs
@@ -36,13 +36,13 @@ def chunk_rows(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     rows = table(spark, sf, "chunks")
     if columns:
         rows = rows.select("chunk_id", "upserted_at", *columns)
-    return newest(rows, ["chunk_id"], ["upserted_at"])
+    return newest_of_few(rows, ["chunk_id"], ["upserted_at"])
 
 
 def index_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The index, written once: chunks of notes, which carry metadata, and points of other files, which carry vectors."""
     notes = chunk_rows(spark, sf).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumn("vector", F.lit(None).cast("array<float>")).withColumnRenamed("chunk_id", "row_id")
-    points = newest(table(spark, sf, "points"), ["vec_id"], ["upserted_at"]).withColumnRenamed("vec_id", "row_id")
+    points = newest_of_few(table(spark, sf, "points"), ["vec_id"], ["upserted_at"]).withColumnRenamed("vec_id", "row_id")
     none = {c: F.lit(None).cast("string") for c in ("project", "status", "type", "content_hash", "extra_metadata")}
     points = points.withColumns({**none, "tags": F.array().cast("array<string>")})
     names = index.SCHEMA.fieldNames()
