@@ -14,27 +14,28 @@ GROUP_ROWS, RANGES = 200_000, 128
 def running_position(df: DataFrame, keys: list[str], order: str, ties: list[str] | None = None, weight: str | None = None, out: str = "position") -> DataFrame:
     """``df`` with the number of rows (or the sum of ``weight``) of the group up to and including this row.
 
-    Order is by the number ``order`` ascending, then ``ties``. A group of up to ``GROUP_ROWS`` rows is one window. A
-    larger one is cut into ranges by approximate quantiles of ``order``; a window numbers each range, and the
-    ranges' sums are added in front, so no task sorts a whole hot group. Equal values share a range. Nulls of
-    ``order`` come first. An empty table gives an empty table.
+    Order is by the number ``order`` ascending, then ``ties``. Groups are counted first, so ``df`` should be cheap to read
+    twice. A group of up to ``GROUP_ROWS`` rows is one window. A larger one is cut into ranges by approximate quantiles
+    of ``order``; a window numbers each range, and the ranges' sums are added in front, so no task sorts a whole hot
+    group. Equal values share a range. Nulls of ``order`` come first. An empty table gives an empty table.
     """
     add = F.sum(weight) if weight else F.count("*")
+    large = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > GROUP_ROWS)
+    large = sized(large.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]), "large")
+    frame = lambda *more: Window.partitionBy(*keys, *more).orderBy(order, *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
+    if large.isEmpty():
+        return df.withColumn(out, add.over(frame()))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    names = [f"__k{i}" for i in range(len(keys))]
     steps = [i / RANGES for i in range(1, RANGES)]
-    hot = df.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx(order, steps, 2000).alias("__edges")).filter(F.col("__n") > GROUP_ROWS)
-    hot = sized(hot.select(*keys, "__edges"), "hot", 20_000)
-    match = [df[k].eqNullSafe(hot[k]) for k in keys]
-    cut = df.join(hot, match, "left").select(*[df[c] for c in df.columns], F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col(order))), F.lit(0)).alias("__range"))
-    if hot.isEmpty():
-        ranges = None
-    else:
-        ranges = cut.join(hot, [cut[k].eqNullSafe(hot[k]) for k in keys], "left_semi").groupBy(*keys, "__range").agg(add.alias("__sum"))
-        before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-        ranges = ranges.select(*keys, "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-        ranges = ranges.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__range"])], "__before")
-    inside = Window.partitionBy(*keys, "__range").orderBy(order, *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = cut.withColumn(out, (F.sum(weight) if weight else F.count("*")).over(inside))
-    if ranges is None:
-        return numbered.drop("__range")
-    joined = numbered.join(ranges, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, "__range"])], "left")
+    edges = df.join(large, same).groupBy(*names).agg(F.percentile_approx(order, steps, 2000).alias("__edges"))
+    edges = sized(edges, "edges", 20_000)
+    below = F.size(F.filter("__edges", lambda e: e < F.col(order)))
+    cut = df.join(edges, same, "left").withColumn("__range", F.coalesce(F.when(F.col("__edges").isNotNull(), below), F.lit(0))).withColumn("__hot", F.col("__edges").isNotNull()).drop("__edges", *names)
+    sums = cut.filter("__hot").groupBy(*keys, "__range").agg(add.alias("__sum"))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+    sums = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__range"])], "__before")
+    numbered = cut.withColumn(out, add.over(frame("__range")))
+    joined = numbered.join(sums, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, "__range"])], "left")
     return joined.select(*[c for c in df.columns if c != out], (F.col(out) + F.coalesce("__before", F.lit(0))).alias(out))
