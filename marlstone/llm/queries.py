@@ -57,7 +57,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """All pieces of the newest version of every item."""
-    items = newest(_items(spark, sf), ["item_kind", "item_id"], ["version"])
+    items = newest_of_few(_items(spark, sf), ["item_kind", "item_id"], ["version"])
     return split.split_items(items, "text").drop("version")
 
 
@@ -199,7 +199,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
     """Clean text of the newest version of every record."""
-    return markup.clean_markup(newest(_texts(spark, sf), ["record_kind", "record_id"], ["version"])).select("record_kind", "record_id", "clean_text")
+    return markup.clean_markup(newest_of_few(_texts(spark, sf), ["record_kind", "record_id"], ["version"])).select("record_kind", "record_id", "clean_text")
 
 
 # --- problem 7: encoding the corpus ---------------------------------------------------------------------------------

@@ -70,7 +70,7 @@ def aggregate_ranks(scores: DataFrame, request: str, item: str, channel: str = "
     full = full.withColumn("significance", significance(F.col("ranks"))).withColumn("mean", F.aggregate("ranks", F.lit(0.0), lambda a, r: a + r) / F.size("ranks"))
     # rounding keeps the order of equal values free of the last bits of floating-point sums
     full = full.withColumn("significance", F.round("significance", 12)).withColumn("mean", F.round("mean", 12))
-    placed = running_position(full, ["request"], "significance", ["mean", "item"])
+    placed = running_position(materialize(full, "fused"), ["request"], "significance", ["mean", "item"])
     return placed.select(F.col("request").alias(request), F.col("item").alias(item), "ranks", "scored", "significance", "mean", "position", "n")
 
 
