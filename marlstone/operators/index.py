@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.functions.text import chunk_uuid, stem
+from marlstone.functions.text import chunk_uuid, stem, terms
 
 KEY = ["user_id", "path", "chunk_index"]
 PROMOTED = ["tags", "project", "status", "type"]
@@ -130,8 +130,6 @@ def write_layout(index: DataFrame, location: str) -> None:
 
 def postings(index: DataFrame) -> DataFrame:
     """(user_id, term, field, row_id): the inverted lists of the three full-text fields."""
-    from marlstone.functions.text import terms
-
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(terms(f)).alias("terms")) for f in ("text", "title", "section_path")])
     each = index.select("user_id", "row_id", F.explode(fields).alias("f"))
     return each.select("user_id", F.explode("f.terms").alias("term"), F.col("f.field").alias("field"), "row_id")

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import MAX_TOKENS, MIN_TOKENS, token_count
 
 
-def pack(parts: Column, counts: Column, most: Column | int = MAX_TOKENS, head: Column | int = 0, glue: str = "\n") -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: higher-order functions are interpreted, so an expression used twice in
+    them would be computed twice, and one used inside of a lambda for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def pack(parts: Column, count: Callable[[Column], Column] = token_count, most: Column | int = MAX_TOKENS, head: Column | int = 0, glue: str = "\n") -> Column:
     """array<string>: parts packed in order into texts of at most ``most`` tokens, ``head`` of them taken by a header.
 
     A text is closed before the part that would overflow it; a part that is too large by itself is kept whole. An
@@ -16,32 +24,35 @@ def pack(parts: Column, counts: Column, most: Column | int = MAX_TOKENS, head: C
     """
     most = F.lit(most) if isinstance(most, int) else most
     head = (F.lit(head) if isinstance(head, int) else head).cast("long")
-    part = F.arrays_zip(parts.alias("p"), counts.alias("n"))
     start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(-1).alias("at"), F.lit(0).cast("long").alias("used"))
 
-    def step(s: Column, x: Column) -> Column:
-        size = x["n"].cast("long")
+    def step(s: Column, size: Column) -> Column:
         opens = (s["at"] < 0) | (s["used"] + size > most)
         # only the places of the cuts are carried, so the state stays small however long the texts are
         cuts = F.when(opens, F.concat(s["cuts"], F.array(s["at"] + 1))).otherwise(s["cuts"])
         return F.struct(cuts.alias("cuts"), (s["at"] + 1).alias("at"), F.when(opens, head + size).otherwise(s["used"] + size).alias("used"))
 
-    cuts = F.aggregate(F.transform(part, lambda x: F.struct(x["n"].alias("n"))), start, step, lambda s: s["cuts"])
-    ends = F.concat(F.slice(cuts, 2, F.greatest(F.size(cuts) - 1, F.lit(0))), F.array(F.size(parts)))
-    spans = F.when(F.size(cuts) > 0, F.zip_with(cuts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
-    return F.transform(spans, lambda s: F.array_join(F.slice(parts, s["a"] + 1, s["b"] - s["a"]), glue))
+    def joined(ps: Column, cuts: Column) -> Column:
+        ends = F.concat(F.slice(cuts, 2, F.greatest(F.size(cuts) - 1, F.lit(0))), F.array(F.size(ps)))
+        spans = F.when(F.size(cuts) > 0, F.zip_with(cuts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+        return F.transform(spans, lambda s: F.array_join(F.slice(ps, s["a"] + 1, s["b"] - s["a"]), glue))
+
+    def packed(ps: Column) -> Column:
+        cuts = F.aggregate(F.transform(ps, lambda p: count(p).cast("long")), start, step, lambda s: s["cuts"])
+        return let(cuts, lambda c: joined(ps, c))
+
+    return let(parts, packed)
 
 
 def pack_lines(text: str | Column, most: int = MAX_TOKENS, head: Column | int = 0) -> Column:
     """Lines packed into texts of at most ``most`` tokens."""
-    lines = F.split(F.col(text) if isinstance(text, str) else text, "\n")
-    return pack(lines, F.transform(lines, token_count), most, head, "\n")
+    return pack(F.split(F.col(text) if isinstance(text, str) else text, "\n"), token_count, most, head, "\n")
 
 
 def pack_paragraphs(text: str | Column, most: int = MAX_TOKENS) -> Column:
     """Paragraphs (parted by blank lines; blank ones dropped) packed into texts of at most ``most`` tokens."""
     parts = F.filter(F.split(F.col(text) if isinstance(text, str) else text, r"\n[ \t\r]*\n[\s]*"), lambda p: F.length(F.trim(p)) > 0)
-    return pack(parts, F.transform(parts, token_count), most, 0, "\n\n")
+    return pack(parts, token_count, most, 0, "\n\n")
 
 
 def merge_short(sections: DataFrame, document: list[str], order: str, tokens: str, path: str, text: str, least: int = MIN_TOKENS) -> DataFrame:

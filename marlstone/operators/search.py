@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import clamp, terms
 from marlstone.functions.vector import usable
+from marlstone.operators.index import postings
 from marlstone.operators.sized import sized
+from marlstone.session import materialize
 
 # Constant of reciprocal-rank fusion, over-fetch of its inputs, limits of a request, context's pool.
 RRF_K, OVERFETCH, LIMIT_RANGE, DEFAULT_LIMIT, CONTEXT_POOL = 60, 2, (1, 50), 10, 50
@@ -135,22 +137,24 @@ def lexical(queries: DataFrame, index: DataFrame, filters: Filters | None = None
     """(query_id, rank, row_id, score, payload): the first k rows by (path, chunk_index) of which one field holds all terms
     of the query. Fields are text, title and section_path; the score is 1.
 
-    ``k`` is at most the largest limit of a request. Each field is joined by the query's rarest term only, then all terms are checked inside the row, so a frequent word makes no
-    hot key. A query without terms matches nothing.
+    ``k`` is at most the largest limit of a request. The inverted lists are joined by the query's rarest term first, and the other terms
+    are looked up for its rows only, so a frequent word makes no hot key; texts are moved for the results alone. A query without
+    terms matches nothing.
     """
     rows = _filtered(index, filters, folder_mode)
     q = queries.select("user_id", "query_id", (F.col("k") * overfetch).alias("k"), F.array_distinct(terms("query_text")).alias("terms")).filter(F.size("terms") > 0)
-    wanted = q.select("user_id", F.explode("terms").alias("term")).distinct()
-    names = ("text", "title", "section_path")
-    fields_ = F.array(*[F.array_distinct(terms(F.coalesce(f, F.lit("")))) for f in names])
-    posted = rows.select("user_id", "row_id", F.explode(F.array_distinct(F.flatten(fields_))).alias("term")).join(wanted, ["user_id", "term"])
+    wanted = sized(q.select("user_id", F.explode("terms").alias("term")).distinct(), "terms")
+    posted = materialize(postings(rows).join(wanted, ["user_id", "term"]), "posted")  # the corpus is tokenised once
     often = posted.groupBy("user_id", "term").agg(F.count("*").alias("df"))
     named = q.withColumn("term", F.explode("terms")).join(often, ["user_id", "term"], "left")
     rarest = named.groupBy("user_id", "query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"), F.min(F.coalesce("df", F.lit(0))).alias("df"))
     keyed = q.join(rarest.filter("df > 0").drop("df"), ["user_id", "query_id"])
-    # texts are moved only for rows that hold a rarest term
-    hits = posted.join(keyed.select("user_id", "term", "query_id", "k", "terms"), ["user_id", "term"]).join(rows.select("row_id", "path", "chunk_index", *names), "row_id")
-    hits = hits.filter(F.exists(fields_, lambda f: F.size(F.array_except("terms", f)) == 0))
+    found = posted.join(keyed, ["user_id", "term"]).select("query_id", "k", "terms", "row_id", "field")
+    one = found.filter(F.size("terms") == 1).select("query_id", "k", "row_id")
+    each = found.filter(F.size("terms") > 1).select("query_id", "k", "row_id", "field", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    all_ = each.join(posted.select("row_id", "field", "term"), ["row_id", "field", "term"]).groupBy("query_id", "k", "row_id", "field", "n").count()
+    matched = one.unionByName(all_.filter("count = n").select("query_id", "k", "row_id")).distinct()
+    hits = matched.join(rows.select("row_id", "path", "chunk_index"), "row_id")
     order = Window.partitionBy("query_id").orderBy("path", "chunk_index", "row_id")
     # the fixed bound lets every task drop what cannot be among the first before the exchange
     ranked = hits.select("query_id", "row_id", "path", "chunk_index", "k").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= OVERFETCH * LIMIT_RANGE[1]).filter(F.col("rank") <= F.col("k"))

@@ -41,8 +41,8 @@ def chunk_rows(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 
 def index_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The index, written once: chunks of notes, which carry metadata, and points of other files, which carry vectors."""
-    notes = chunk_rows(spark, sf).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumn("vector", F.lit(None).cast("array<float>")).withColumnRenamed("chunk_id", "row_id")
-    points = newest_of_few(table(spark, sf, "points"), ["vec_id"], ["upserted_at"]).withColumnRenamed("vec_id", "row_id")
+    notes = newest(table(spark, sf, "chunks"), ["chunk_id"], ["upserted_at"]).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumn("vector", F.lit(None).cast("array<float>")).withColumnRenamed("chunk_id", "row_id")
+    points = newest(table(spark, sf, "points"), ["vec_id"], ["upserted_at"]).withColumnRenamed("vec_id", "row_id")
     none = {c: F.lit(None).cast("string") for c in ("project", "status", "type", "content_hash", "extra_metadata")}
     points = points.withColumns({**none, "tags": F.array().cast("array<string>")})
     names = index.SCHEMA.fieldNames()
