@@ -37,7 +37,7 @@ MAX_WINDOWS, SEGMENT = 30_000, 96
 SHORT, LONG, PAD = 24, 300, 20
 #: Gains per byte: to stay a training window, and the range of calibrated thresholds. How much oftener reported documents
 #: hold a telling word pair.
-KEEP, LEAST, DEFAULT, MOST, TELLING = 0.1, 0.12, 0.15, 0.18, 8
+KEEP, LEAST, DEFAULT, MOST, TELLING = 0.1, 0.12, 0.15, 0.18, 5
 
 # Cyrillic and Greek letters that look like Latin ones.
 _LOOKS = dict(zip("асеорхуіјѕһкмтвнԁαοερυι", "aceopxyijshkmtbhdaoepui"))
