@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,24 @@ def build_session(app: str = "marlstone", cores: str = "*", shuffle_partitions:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once per context, so that their Python workers can import it wherever the
+    driver was started from."""
+    context = spark.sparkContext
+    if getattr(context, "_marlstone_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="marlstone-package-")) / "marlstone.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._marlstone_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder. Also makes sure that the executors have this package."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
