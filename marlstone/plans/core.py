@@ -107,6 +107,12 @@ def _lex(times: int = 1, filter_: str = "") -> str:
     return _LEX.format(times=times, filter=filter_)
 
 
+def _lex_whole(times: int = 1, filter_: str = "") -> str:
+    """As ``_lex``, with all terms of the request instead of the last."""
+    cut, whole = r"[regexp_extract_all(lower(query_text), '[\p{L}\p{N}]+')[-1]] AS terms", r"list_distinct(regexp_extract_all(lower(query_text), '[\p{L}\p{N}]+')) AS terms"
+    return _lex(times, filter_).replace(cut, whole)
+
+
 # --- retrieval ------------------------------------------------------------------------------------------------------
 def _ranked(df: DataFrame) -> DataFrame:
     return df.select("query_id", F.col("rank").cast("long").alias("rank"), "row_id", "path", F.round("score", 6).alias("score"))
@@ -130,6 +136,7 @@ def semantic_folder_post(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_BASE + _lex() + " SELECT query_id, rank, row_id, path, score FROM lx")
 def lexical_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The last term of every request; ``lexical_batch_whole`` and the other ``*_whole`` queries ask for the whole text."""
     return _ranked(search.lexical(term_requests(spark, sf), index_rows(spark, sf)))
 
 
@@ -144,6 +151,23 @@ def lexical_folder_post(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(search.lexical(term_requests(spark, sf), index_rows(spark, sf), search.Filters.of(folder="Projects/"), "post"))
 
 
+@query(_BASE + _lex_whole() + " SELECT query_id, rank, row_id, path, score FROM lx")
+def lexical_batch_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All terms of every request's text in one field."""
+    return _ranked(search.lexical(request_rows(spark, sf), index_rows(spark, sf)))
+
+
+@query(_BASE + _lex_whole(1, " AND list_has_any(i.tags, ['ops', 'draft']) AND i.status = 'active' AND i.path LIKE 'Projects/%'") + " SELECT query_id, rank, row_id, path, score FROM lx")
+def lexical_filtered_whole(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = search.Filters.of(tags=("ops", "draft"), status="active", folder="Projects/")
+    return _ranked(search.lexical(request_rows(spark, sf), index_rows(spark, sf), wanted))
+
+
+@query(_BASE + _lex_whole() + " SELECT query_id, rank, row_id, path, score FROM lx WHERE path LIKE 'Projects/%'")
+def lexical_folder_post_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranked(search.lexical(request_rows(spark, sf), index_rows(spark, sf), search.Filters.of(folder="Projects/"), "post"))
+
+
 @query(
     _BASE
     + r""",
@@ -166,15 +190,32 @@ def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(search.hybrid(term_requests(spark, sf), index_rows(spark, sf)))
 
 
-@query(_BASE + _sem() + _lex() + " SELECT (SELECT count(*) FROM sm JOIN rq USING (query_id) JOIN ix USING (row_id) WHERE ix.user_id <> rq.user_id) AS foreign_rows, (SELECT count(*) FROM sm) + (SELECT count(*) FROM lx) AS total_rows")
-def tenant_isolation(spark: SparkSession, sf: str) -> DataFrame:
-    """Results that belong to another tenant: none."""
-    rows, q = index_rows(spark, sf), term_requests(spark, sf)
+@query(_BASE + _sem(2) + _lex_whole(2) + _FUSE + " SELECT h.query_id, h.rank, h.row_id, h.path, round(h.score, 6) AS score FROM hy h JOIN rq USING (query_id) WHERE h.rank <= rq.k")
+def hybrid_rrf_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Both lists fused by reciprocal ranks, the lexical one of all terms."""
+    return _ranked(search.hybrid(request_rows(spark, sf), index_rows(spark, sf)))
+
+
+_FOREIGN = " SELECT (SELECT count(*) FROM sm JOIN rq USING (query_id) JOIN ix USING (row_id) WHERE ix.user_id <> rq.user_id) AS foreign_rows, (SELECT count(*) FROM sm) + (SELECT count(*) FROM lx) AS total_rows"
+
+
+def _foreign(q: DataFrame, rows: DataFrame) -> DataFrame:
     found = search.semantic(q, rows).select("query_id", "row_id").unionByName(search.lexical(q, rows).select("query_id", "row_id"))
     owned = found.join(rows.select("row_id", F.col("user_id").alias("owner")), "row_id").join(q.select("query_id", "user_id"), "query_id")
     return owned.agg(F.count_if(F.col("owner") != F.col("user_id")).alias("foreign_rows"), F.count("*").alias("total_rows"))
 
 
+@query(_BASE + _sem() + _lex() + _FOREIGN)
+def tenant_isolation(spark: SparkSession, sf: str) -> DataFrame:
+    """Results that belong to another tenant: none."""
+    return _foreign(term_requests(spark, sf), index_rows(spark, sf))
+
+
+@query(_BASE + _sem() + _lex_whole() + _FOREIGN)
+def tenant_isolation_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _foreign(request_rows(spark, sf), index_rows(spark, sf))
+
+
 @query(
     _BASE
     + r""", t AS (SELECT user_id, row_id, 'text' AS field, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM ix
@@ -191,15 +232,17 @@ def inverted_index(spark: SparkSession, sf: str) -> DataFrame:
 _BUDGET = 1000
 
 
-def _pool(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(search.hybrid(term_requests(spark, sf).withColumn("k", F.lit(search.CONTEXT_POOL)), index_rows(spark, sf)), "pool")
+def _pool(requests: DataFrame, rows: DataFrame) -> DataFrame:
+    return materialize(search.hybrid(requests.withColumn("k", F.lit(search.CONTEXT_POOL)), rows), "pool")
+
 
+def _notes(lexical: str) -> str:
+    return _NOTES_HEAD + lexical + _NOTES_TAIL
 
-_NOTES = (
-    _BASE.replace("result_limit AS k", "50 AS k")
-    + _sem(2)
-    + _lex(2)
-    + _FUSE
+
+_NOTES_HEAD = _BASE.replace("result_limit AS k", "50 AS k") + _sem(2)
+_NOTES_TAIL = (
+    _FUSE
     + r""",
      po AS (SELECT * FROM hy WHERE rank <= 50),
      fl AS (SELECT *, round(score / max(score) OVER (PARTITION BY query_id), 9) AS rel FROM po),
@@ -214,29 +257,57 @@ _NOTES = (
             UNION ALL SELECT c.query_id, c.ord, CASE WHEN g.used + c.tokens <= 1000 THEN g.used + c.tokens ELSE g.used END, g.used + c.tokens <= 1000 FROM gr g JOIN cd c ON c.query_id = g.query_id AND c.ord = g.ord + 1),
      pk AS (SELECT c.* FROM cd c JOIN gr g ON g.query_id = c.query_id AND g.ord = c.ord WHERE g.taken)"""
 )
+_NOTES, _NOTES_WHOLE = _notes(_lex(2)), _notes(_lex_whole(2))
+
+
+_PACK = " SELECT query_id, section, row_number() OVER (PARTITION BY query_id, section ORDER BY ord) AS \"position\", path, round(score, 6) AS score, tokens, text FROM pk"
+_META = """ SELECT f.query_id, 1000::BIGINT AS token_budget, coalesce(p.used, 0)::BIGINT AS tokens_used, coalesce(p.n, 0) AS chunks_included, f.under AS chunks_excluded, coalesce(c.n, 0) - coalesce(p.n, 0) AS budget_rejected
+     FROM (SELECT query_id, count(*) FILTER (WHERE rel < 0.3) AS under FROM fl GROUP BY 1) f LEFT JOIN (SELECT query_id, sum(tokens) AS used, count(*) AS n FROM pk GROUP BY 1) p USING (query_id)
+     LEFT JOIN (SELECT query_id, count(*) AS n FROM cd GROUP BY 1) c USING (query_id)"""
+_OVER = " SELECT query_id, path, round(rel, 6) AS relative FROM fl WHERE rel >= 0.3"
 
 
-@query(_NOTES + " SELECT query_id, section, row_number() OVER (PARTITION BY query_id, section ORDER BY ord) AS \"position\", path, round(score, 6) AS score, tokens, text FROM pk")
+def _packed(pool: DataFrame) -> DataFrame:
+    pack = context.assemble(pool, budget=_BUDGET)
+    return pack.select("query_id", "section", F.col("position").cast("long").alias("position"), "path", F.round("score", 6).alias("score"), "tokens", "text")
+
+
+def _over(pool: DataFrame) -> DataFrame:
+    return context.over_floor(pool).select("query_id", "path", F.round("relative", 6).alias("relative"))
+
+
+@query(_NOTES + _PACK)
 def context_pack(spark: SparkSession, sf: str) -> DataFrame:
     """A context pack of 1,000 tokens for every request."""
-    pack = context.assemble(_pool(spark, sf), budget=_BUDGET)
-    return pack.select("query_id", "section", F.col("position").cast("long").alias("position"), "path", F.round("score", 6).alias("score"), "tokens", "text")
+    return _packed(_pool(term_requests(spark, sf), index_rows(spark, sf)))
 
 
-@query(
-    _NOTES
-    + """ SELECT f.query_id, 1000::BIGINT AS token_budget, coalesce(p.used, 0)::BIGINT AS tokens_used, coalesce(p.n, 0) AS chunks_included, f.under AS chunks_excluded, coalesce(c.n, 0) - coalesce(p.n, 0) AS budget_rejected
-     FROM (SELECT query_id, count(*) FILTER (WHERE rel < 0.3) AS under FROM fl GROUP BY 1) f LEFT JOIN (SELECT query_id, sum(tokens) AS used, count(*) AS n FROM pk GROUP BY 1) p USING (query_id)
-     LEFT JOIN (SELECT query_id, count(*) AS n FROM cd GROUP BY 1) c USING (query_id)"""
-)
+@query(_NOTES + _META)
 def context_meta(spark: SparkSession, sf: str) -> DataFrame:
-    pool = _pool(spark, sf)
+    pool = _pool(term_requests(spark, sf), index_rows(spark, sf))
     return context.meta(pool, context.assemble(pool, budget=_BUDGET), budget=_BUDGET)
 
 
-@query(_NOTES + " SELECT query_id, path, round(rel, 6) AS relative FROM fl WHERE rel >= 0.3")
+@query(_NOTES + _OVER)
 def context_floor(spark: SparkSession, sf: str) -> DataFrame:
-    return context.over_floor(_pool(spark, sf)).select("query_id", "path", F.round("relative", 6).alias("relative"))
+    return _over(_pool(term_requests(spark, sf), index_rows(spark, sf)))
+
+
+@query(_NOTES_WHOLE + _PACK)
+def context_pack_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """A context pack of 1,000 tokens for the whole text of every request."""
+    return _packed(_pool(request_rows(spark, sf), index_rows(spark, sf)))
+
+
+@query(_NOTES_WHOLE + _META)
+def context_meta_whole(spark: SparkSession, sf: str) -> DataFrame:
+    pool = _pool(request_rows(spark, sf), index_rows(spark, sf))
+    return context.meta(pool, context.assemble(pool, budget=_BUDGET), budget=_BUDGET)
+
+
+@query(_NOTES_WHOLE + _OVER)
+def context_floor_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _over(_pool(request_rows(spark, sf), index_rows(spark, sf)))
 
 
 # --- chunking -------------------------------------------------------------------------------------------------------
