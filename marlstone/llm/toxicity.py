@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.markup import _TAG as TAG
+
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Most labelled documents that training looks at, of reported and of ordinary ones; taken by a hash of the id.
 MAX_REPORTED, MAX_ORDINARY = 6000, 6000
@@ -50,7 +52,11 @@ _RUN = re.compile(r"([^\W\d_])\1{2,}")
 _TOKEN = re.compile(r"[\w@$]+")
 _END = re.compile(r"(?<=[.!?…。！？])[\"'’”»)\]]*\s+|\s*\n[^\S\n]*\n\s*")
 _LINE = re.compile(r"[\n\r\x0b\x0c\x85\u2028\u2029]+")
-_EMBED = re.compile(r"!?\[[^\]\n]*\]\([^)\s]*\)|https?://\S+|<[^<>]{1,200}>")
+_LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\s]*\)")
+_URL = re.compile(r"https?://\S+")
+# Attributes of a tag: each has a value, so that words between angle brackets are none.
+_ATTRS = re.compile(r"(?:\s+[A-Za-z_:@][\w:.-]*\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))*\s*/?\s*")
+_ALT = re.compile(r"\salt\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S+))", re.I)
 _SPACES = re.compile(r"\s+")
 
 
@@ -70,9 +76,18 @@ def _token(m: re.Match) -> str:
     return w
 
 
+def _visible(m: re.Match) -> str:
+    """A space for an HTML tag, the text of an image for its tag; anything else between angle brackets stays."""
+    if not _ATTRS.fullmatch(m["attrs"] or ""):
+        return m.group()
+    alt = m["name"].lower() == "img" and _ALT.search(m["attrs"] or "")
+    return f" {next((x for x in alt.groups() if x), '')} " if alt else " "
+
+
 def normalise(text: str) -> str:
-    """Lower-case text with the usual disguises of words undone and numbers reduced to 0."""
-    text = _EMBED.sub(" ", html.unescape(text))
+    """Lower-case text with the usual disguises of words undone and numbers reduced to 0; of links and images the label."""
+    text = html.unescape(TAG.sub(_visible, text))
+    text = _URL.sub(" ", _LINK.sub(r" \1 ", text))
     text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) not in ("Mn", "Cf", "Cc") or c in "\t\n\r")
     text = _APART.sub(lambda m: m.group().replace(m[1], ""), text.lower())
     text = _TOKEN.sub(_token, text)

@@ -77,3 +77,20 @@ def test_fit_takes_the_newest_label_and_bears_little_data(spark):
     assert toxicity.labelled(docs, labels) == [(1, "You fool.", frozenset({"abusive"})), (2, "The room is free.", frozenset())]
     assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 3
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).filter(F.size("offends") > 0).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("raw", "plain"),
+    [
+        ("see [agent named](notes/a.md) here", "see agent named here"),
+        ("![a rude label](x.png) end", "a rude label end"),
+        ('<img src="x.png" alt="a rude label"/> end', "a rude label end"),
+        ("if a < b rude words c > d", "if a < b rude words c > d"),
+        ("the &lt;rude words&gt; stay", "the <rude words> stay"),
+        ("the <rude words> and <b rude words> stay", "the <rude words> and <b rude words> stay"),
+        ('a <b>bold</b> <a href="http://x.y/z">link</a><br/>', "a bold link"),
+        ("at https://x.y/z or [http://x.y](http://x.y)", "at or"),
+    ],
+)
+def test_labels_and_bracketed_words_are_scored(raw, plain):
+    assert toxicity.normalise(raw) == plain
