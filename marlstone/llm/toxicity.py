@@ -35,8 +35,9 @@ MAX_REPORTED, MAX_ORDINARY = 6000, 6000
 DICT_BYTES, LEVEL, FOLDS, ROUNDS = 262144, 19, 4, 2
 #: Most windows a dictionary is trained on (they come in random order), and the length of its segments.
 MAX_WINDOWS, SEGMENT = 30_000, 96
-#: Shortest and longest window in characters; bytes added to a window's length, as short ones say little.
-SHORT, LONG, PAD = 24, 300, 20
+#: Shortest and longest window in characters, and how many two cut from one sentence share, more than an offending phrase
+#: usually has; bytes added to a window's length, as short ones say little.
+SHORT, LONG, SHARED, PAD = 24, 300, 100, 20
 #: Gains per byte: to stay a training window, and the range of calibrated thresholds. How much oftener reported documents
 #: hold a telling word pair.
 KEEP, LEAST, DEFAULT, MOST, TELLING = 0.1, 0.12, 0.15, 0.18, 5
@@ -94,8 +95,21 @@ def normalise(text: str) -> str:
     return _SPACES.sub(" ", _RUN.sub(r"\1", text)).strip()
 
 
+def _cut(plain: str) -> Iterator[str]:
+    """A long sentence in windows that begin and end at spaces, where it has any, and overlap."""
+    at = 0
+    while len(plain) - at > LONG:
+        end = plain.rfind(" ", at + LONG // 2, at + LONG + 1)
+        end = end if end >= 0 else at + LONG
+        yield plain[at:end]
+        # the shared part begins with a whole word
+        back = plain.rfind(" ", max(at + SHARED // 4, end - SHARED - SHARED // 2), end - SHARED)
+        at = back + 1 if back >= 0 else end - SHARED
+    yield plain[at:]
+
+
 def windows(text: str) -> list[bytes]:
-    """Normalised sentences of the whole text; very long ones are cut, very short ones join the next."""
+    """Normalised sentences of the whole text; very long ones are cut with an overlap, very short ones join the next."""
     out: list[bytes] = []
     held = ""
     pieces = [x for p in _END.split(text) for x in (_LINE.split(p) if len(p) > LONG else (p,))]
@@ -106,7 +120,7 @@ def windows(text: str) -> list[bytes]:
         if len(held.strip()) < SHORT:
             continue
         plain, held = normalise(held), ""
-        out += [plain[i : i + LONG].encode() for i in range(0, len(plain), LONG)]
+        out += [x.encode() for x in _cut(plain)]
     if held.strip():
         out.append(normalise(held).encode())
     return [w for w in out if w]

@@ -94,3 +94,21 @@ def test_fit_takes_the_newest_label_and_bears_little_data(spark):
 )
 def test_labels_and_bracketed_words_are_scored(raw, plain):
     assert toxicity.normalise(raw) == plain
+
+
+def test_long_sentences_are_cut_at_spaces_and_overlap():
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefghik") for _ in range(rnd.randint(2, 9))) for _ in range(400)]
+    plain = toxicity.normalise(" ".join(words))
+    cut = [w.decode() for w in toxicity.windows(plain)]
+    assert all(len(w) <= toxicity.LONG for w in cut)
+    assert {x for w in cut for x in w.split()} == set(plain.split())
+    for at in range(len(plain) - toxicity.SHARED):
+        assert any(plain[at : at + toxicity.SHARED] in w for w in cut)
+
+
+def test_long_sentences_without_spaces_lose_nothing():
+    plain = toxicity.normalise("".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(650)))
+    cut = [w.decode() for w in toxicity.windows(plain)]
+    assert all(len(w) <= toxicity.LONG for w in cut)
+    assert all(any(plain[at : at + toxicity.SHARED] in w for w in cut) for at in range(len(plain) - toxicity.SHARED))
