@@ -50,7 +50,7 @@ _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,
 _ENV = re.compile(r"\\(?:begin|end)\s*\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?")
 _MATH = re.compile(
     r"\$\$(?P<a>(?:(?!\n[ \t]*\n)[^$])+)\$\$|\\\[(?P<b>(?:(?!\n[ \t]*\n).)+?)\\\]|\\\((?P<c>(?:(?!\n[ \t]*\n).)+?)\\\)"
-    r"|(?<![\\$\w])\$(?![\s$])(?P<d>[^$\n]{1,300}?)(?<![\s\\])\$(?![$\w])",
+    r"|(?<![\\$\w])\$(?![\s$])(?P<d>[^$\n]+?)(?<![\s\\])\$(?![$\w])",
     re.S,
 )
 _PRICE = re.compile(r"[\d.,]+(?:[^\S\n]|\s*[-–/]|[kKmM]?\b\W)")
@@ -143,7 +143,7 @@ class _Scan:
             self.sub(_MATH, "latex", self._math)
         if "\\" in self.text:
             self.sub(_ENV, "latex", lambda m: "")
-            for _ in range(4):  # inner braces first
+            while True:  # inner braces first; every pass that changes something takes a backslash or braces out
                 before = self.text
                 self.sub(_COMMAND, "latex", self._command)
                 if self.text == before:
@@ -213,13 +213,13 @@ class _Scan:
         self.sub(_LIST, "markdown", self._item)
         if "~~" in text:
             self.sub(_STRIKE, "markdown", lambda m: m["body"])
-        for pattern, sign in ((_STAR, "*"), (_UNDER, "_")):
-            for _ in range(3):
-                before = self.text
-                if sign in before:
+        while True:  # outer signs first; every pass that changes something takes signs out
+            before = self.text
+            for pattern, sign in ((_STAR, "*"), (_UNDER, "_")):
+                if sign in self.text:
                     self.sub(pattern, "markdown", lambda m: m["body"])
-                if self.text == before:
-                    break
+            if self.text == before:
+                break
 
     @staticmethod
     def _item(m: re.Match) -> str:

@@ -70,3 +70,16 @@ def test_rows(spark):
 @pytest.mark.parametrize("unit", ["[", "<", "*a ", "`", "$", "{{", "'' ", "\\(", "|-", "a_", "[[", "&", "```\n", "> ", "- ", "= ", "![", "\\x{"])
 def test_long_texts_of_signs_end_soon(unit):
     strip_markup(unit * 5000)
+
+
+def test_long_formulas_and_deep_nesting():
+    body = " + ".join(f"x_{i}" for i in range(120))
+    assert strip_markup(f"let ${body}$ hold") == (f"let {body} hold", ["latex"])
+    assert strip_markup("".join(f"\\{c}{{" for c in ("emph", "textbf") * 4) + "deep" + "}" * 8) == ("deep", ["latex"])
+    mixed = alike = "deep"
+    for star, under in [("*", "_"), ("**", "__")] * 4:
+        mixed = f"{star}x {under}x {mixed} x{under} x{star}"
+        alike = f"{star}x {alike} x{star}"
+    assert strip_markup(mixed) == ("x " * 16 + "deep" + " x" * 16, ["markdown"])
+    assert strip_markup("_*deep*_") == ("deep", ["markdown"])
+    assert strip_markup(alike) == ("x " * 8 + "deep" + " x" * 8, ["markdown"])
