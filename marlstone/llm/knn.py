@@ -22,6 +22,8 @@ from marlstone.operators.sized import sized
 from marlstone.session import materialize
 
 K, TABLES, PROBES = 10, 3, 4
+#: Share of pairs just at the least cosine that are to be found; the tables needed for it are counted on random pairs.
+RECALL, TRIALS = 0.98, 2000
 BUCKET, BLOCK = 96, 4096
 #: For plain top-k, where neighbours may be far: one axis, and a quarter of its buckets in each of four tables.
 WIDE = {"bits": 7, "tables": 4, "probes": 32}
@@ -84,6 +86,21 @@ def hash_codes(unit: np.ndarray, bits: int, tables: int, probes: int, seed: int
     return out
 
 
+def tables_for(least: float, dim: int, bits: int, probes: int) -> int:
+    """Tables in which a query finds a share of ``RECALL`` of the points at a cosine of ``least``, at least ``TABLES``."""
+    if least >= 1 or dim < 2:
+        return TABLES
+    rng = np.random.default_rng(11)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.standard_normal((2, TRIALS, dim)))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = least * a + math.sqrt(1 - least * least) * b
+    asked, stored = hash_codes(a.astype(np.float32), bits, TABLES, probes), hash_codes(b.astype(np.float32), bits, TABLES, 1)
+    missed = np.mean([(x != y).all(1).mean() for x, y in zip(asked, stored)])
+    missed = min(max(missed, 1 / TRIALS), 1 - 1 / TRIALS)
+    return max(TABLES, math.ceil(math.log(1 - RECALL) / math.log(missed)))
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
@@ -164,7 +181,7 @@ def _compare(k: int, least: float | None, distinct: bool, dim: int):
 
 
 def nearest(
-    points: DataFrame, queries: DataFrame | None = None, k: int = K, least: float | None = None, dim: int = 64, tables: int = TABLES, probes: int = PROBES, bits: int | None = None
+    points: DataFrame, queries: DataFrame | None = None, k: int = K, least: float | None = None, dim: int = 64, tables: int | None = None, probes: int = PROBES, bits: int | None = None
 ) -> DataFrame:
     """(query, point, cosine, rank): the ``k`` points most similar to every query, by cosine, then by smaller id.
 
@@ -172,13 +189,16 @@ def nearest(
     neighbour of itself. ``least`` leaves out points of a smaller cosine and with that most of the work. Vectors that
     are null, of another length, all zero or not finite take no part, on either side; equal vectors are neighbours
     with cosine 1. Other columns are ignored. An empty side gives no row. Neighbours whose bucket no probe reaches
-    in any table are missed; the share is measured in the tests.
+    in any table are missed; the share is measured in the tests. Without ``tables`` their number grows with the buckets, so
+    that the share found at ``least`` stays at ``RECALL``.
     """
     both = queries is None
     points = points.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).filter(valid(F.col("vector"), dim))
     asking = points if both else queries.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).filter(valid(F.col("vector"), dim))
     if bits is None:
         bits = max(1, math.ceil(math.log2(max(2.0, points.count() / BUCKET))))
+    if tables is None:
+        tables = TABLES if least is None else tables_for(least, dim, bits, probes)
 
     def entries(with_vector: bool) -> DataFrame:
         if both:

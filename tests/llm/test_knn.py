@@ -64,3 +64,17 @@ def test_ties_bad_vectors_and_scales(spark):
     assert found == [(1, 2, 1), (2, 1, 1), (3, 1, 1)]
     assert knn.nearest(df.limit(0)).count() == 0
     assert knn.nearest(df, df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [8, 11, 14])
+def test_recall_at_the_least_cosine_stays_as_buckets_grow(bits):
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal((3000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((3000, 64))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    tables = knn.tables_for(0.9, 64, bits, knn.PROBES)
+    asked, stored = knn.hash_codes(a.astype(np.float32), bits, tables, knn.PROBES), knn.hash_codes(b.astype(np.float32), bits, tables, 1)
+    found = np.any([(x == y).any(1) for x, y in zip(asked, stored)], axis=0).mean()
+    assert found >= knn.RECALL - 0.01, (tables, found)
