@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +11,7 @@ from marlstone.functions import text as T
 from marlstone.functions.vector import hashing_embedder
 from marlstone.operators import changes, chunking, context, corpus, evaluate, incremental, index, metrics, packing, search
 from marlstone.operators.versions import newest, newest_of_few
-from marlstone.session import materialize, shared_dir, table
+from marlstone.session import materialize, scratch, ship_package, table
 from marlstone.sources import registry
 from marlstone.streaming import jobs
 
@@ -749,7 +748,7 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query()
 def stream_windowed(spark: SparkSession, sf: str) -> DataFrame:
     """Five-minute counts of the event stream whose window the watermark has passed."""
-    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = scratch(spark, "stream")
     counts = jobs.windowed_counts(_stream(spark, sf, "events"), ["event_type"])
     counts.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(counts.schema).parquet(f"{out}/data")
@@ -758,34 +757,67 @@ def stream_windowed(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id, count(*) AS deliveries, count(DISTINCT event_id) AS events FROM file_change_events GROUP BY 1")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """The change feed streamed into a versioned table, each micro-batch once, and read back."""
-    root = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    root = scratch(spark, "feed")
     kept = "event_id long, user_id string, path string, type string"
-    feed = incremental.VersionedTable(spark, root, kept)
-    jobs.ingest_stream(_stream(spark, sf, "file_change_events").select("event_id", "user_id", "path", "type"), feed, "feed", f"{root}-state").awaitTermination()
+    feed = incremental.VersionedTable(spark, f"{root}/table", kept)
+    jobs.ingest_stream(_stream(spark, sf, "file_change_events").select("event_id", "user_id", "path", "type"), feed, "feed", f"{root}/state").awaitTermination()
     return feed.read().groupBy("user_id").agg(F.count("*").alias("deliveries"), F.count_distinct("event_id").alias("events"))
 
 
 # --- problem 4: only new or changed records -------------------------------------------------------------------------
-@query("""
+_PENDING = """
 WITH side AS (SELECT user_id, path, detected_at, event_id, type <> 'deleted' AS here, lower(content_hash) AS h FROM file_change_events
               UNION ALL SELECT user_id, old_path, detected_at, event_id, false, NULL FROM file_change_events WHERE type = 'moved' AND old_path IS NOT NULL AND old_path <> path),
      last AS (SELECT * FROM side QUALIFY row_number() OVER (PARTITION BY user_id, path ORDER BY detected_at DESC, event_id DESC, here DESC) = 1),
-     st AS (SELECT user_id, path, lower(content_hash) AS sh, embedding_model_version IS NOT NULL AND (NOT regexp_matches(path, '(?i)\\.(png|jpg|svg|webp)$') OR linked_notes IS NOT NULL) AS complete
+     st AS (SELECT user_id, path, lower(content_hash) AS sh, CASE WHEN regexp_matches(path, '(?i)\\.(png|jpg|svg|webp)$') THEN linked_notes IS NOT NULL ELSE embedding_model_version IS NOT NULL END AS complete
             FROM indexed_files QUALIFY row_number() OVER (PARTITION BY user_id, path ORDER BY indexed_at DESC) = 1),
      j AS (SELECT coalesce(l.user_id, s.user_id) AS user_id, coalesce(l.path, s.path) AS path, l.user_id IS NOT NULL AS ev, coalesce(here, true) AS here, h, s.user_id IS NOT NULL AS known, sh, complete
            FROM last l FULL JOIN st s ON l.user_id = s.user_id AND l.path = s.path)
 SELECT user_id, path, CASE WHEN here THEN 'index' ELSE 'remove' END AS action FROM j
-WHERE (here AND (NOT known OR NOT complete OR (ev AND sh IS DISTINCT FROM h))) OR (NOT here AND known)""")
+WHERE (here AND (NOT known OR NOT complete OR (ev AND NOT coalesce(sh = h, false)))) OR (NOT here AND known)"""
+
+
+def _work_tables(spark: SparkSession) -> tuple[incremental.VersionedTable, incremental.VersionedTable, incremental.VersionedTable]:
+    root = scratch(spark, "pending")
+    return tuple(incremental.VersionedTable(spark, f"{root}/{name}", kind) for name, kind in (("feed", incremental.FEED), ("state", incremental.STATE), ("ledger", incremental.LEDGER)))
+
+
+@query(_PENDING)
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Files the next run must index or remove."""
-    return incremental.pending(table(spark, sf, "file_change_events"), table(spark, sf, "indexed_files"))
+    """Files the next run must index or remove. The given files become the first version of feed and state, without a copy."""
+    feed, states, ledger = _work_tables(spark)
+    ship_package(spark)
+    feed.adopt(f"{sf}/file_change_events.parquet")
+    states.adopt(f"{sf}/indexed_files.parquet")
+    return incremental.pending(feed, states, ledger)
+
+
+@query(_PENDING)
+def p4_increments(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, reached over versions: the feed arrives in three deliveries, the state in two, with rows of other paths that a
+    deletion vector takes out again; every version is followed by a run, one of which fails before its commit."""
+    feed, states, ledger = _work_tables(spark)
+    events, rows = table(spark, sf, "file_change_events"), table(spark, sf, "indexed_files")
+    delivery = F.coalesce(F.pmod(F.col("scan_no"), F.lit(3)), F.lit(0))
+    half = F.pmod(F.xxhash64("path", "indexed_at"), F.lit(2))
+    strays = rows.withColumn("path", F.concat(F.lit("Strays/"), "path"))
+    states.append(rows.filter(half == 0).unionByName(strays))
+    for number in range(3):
+        feed.append(events.filter(delivery == number))
+        if number == 1:
+            states.append(rows.filter(half == 1))
+            ledger.stage(ledger.read())  # a run that dies after writing and before committing
+        if number == 2:
+            states.delete(F.col("path").startswith("Strays/"))
+        incremental.update_ledger(feed, states, ledger)
+    return incremental.pending(feed, states, ledger)
 
 
 @query("SELECT user_id, count(*) AS deliveries FROM file_change_events GROUP BY 1")
 def p4_runs(spark: SparkSession, sf: str) -> DataFrame:
     """The feed arriving in three versions, each processed by a run of its own; one run fails before its commit and is
     repeated. Every delivery is in the output once."""
-    root = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    root = scratch(spark, "runs")
     kind = "event_id long, user_id string, scan_no int"
     source, sink = incremental.VersionedTable(spark, f"{root}/source", kind), incremental.VersionedTable(spark, f"{root}/sink", kind)
     feed = table(spark, sf, "file_change_events").select("event_id", "user_id", "scan_no")

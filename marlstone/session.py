@@ -80,7 +80,7 @@ _WRITTEN: list[str] = []
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables ``materialize`` has written so far. For long sessions, between queries whose results are no longer read."""
+    """Delete what ``materialize`` and the users of ``scratch`` have written so far. For long sessions, between queries whose results are no longer read."""
     while _WRITTEN:
         delete_path(spark, _WRITTEN.pop())
 
@@ -92,6 +92,15 @@ def _forget(spark: SparkSession) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new location in the shared folder, deleted by ``release`` or when the interpreter ends."""
+    location = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_forget, spark)
+    _WRITTEN.append(location)
+    return location
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -99,9 +108,6 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     Parquet keeps it compressed and lets later readers prune columns.
     """
     spark = df.sparkSession
-    location = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(_forget, spark)
-    _WRITTEN.append(location)
+    location = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(location)
     return spark.read.schema(df.schema).parquet(location)
