@@ -223,7 +223,7 @@ def nearest(
         y /= np.abs(y).max(1, keepdims=True)
         return pa.array(np.einsum("ij,ij->i", x, y) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1))
 
-    used = sized(pairs.select(F.col("point").alias("id")).union(pairs.select("query")).distinct(), "used", 2_000_000)
+    used = sized(pairs.select(F.col("point").alias("id")).union(pairs.select("query")).distinct(), "used")
     p = points.join(used, "id", "left_semi").select(F.col("id").alias("point"), F.col("vector").cast("array<float>").alias("pv"))
     q = asking.join(used, "id", "left_semi").select(F.col("id").alias("query"), F.col("vector").cast("array<float>").alias("qv"))
     ranked = pairs.join(p, "point").join(q, "query").select("query", "point", cosine("qv", "pv").alias("cosine"))

@@ -240,7 +240,7 @@ def similar_sets(sets: DataFrame, threshold: float = SIMILARITY, trees: int = TR
     members = sets.select("id", "twin").join(classes, "twin", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     heads = sets.join(classes, "twin", "left").filter("rep IS NULL OR rep = id").select("id", "sig", "tokens")
     pairs = materialize(candidate_pairs(heads, threshold, trees), "pairs")
-    needed = sized(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed", 4 * 500_000)
+    needed = sized(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
     tokens = heads.select("id", "tokens").join(needed, "id", "left_semi")
     both = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
