@@ -66,9 +66,10 @@ def plain_wiki(text: str | Column) -> Column:
 
 
 def truncate_tokens(text: str | Column, most: int) -> Column:
-    """The text up to the end of its first ``most`` tokens."""
-    token = r"(?:[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\r\f\x0B])"
-    return F.regexp_extract(_c(text), rf"^((?:[ \t\n\r\f\x0B]*{token}){{0,{most}}})", 1)
+    """The text up to the end of its first ``most`` tokens. Tokens are taken one by one with the blanks before them, so texts of any
+    length are cut without recursion in the pattern."""
+    each = F.regexp_extract_all(_c(text), F.lit(r"[ \t\n\r\f\x0B]*(?:[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\r\f\x0B])"), 0)
+    return F.array_join(F.slice(each, 1, most), "")
 
 
 def base_name(path: str | Column) -> Column:

@@ -29,7 +29,7 @@ def running_position(df: DataFrame, keys: list[str], order: str, ties: list[str]
     names = [f"__k{i}" for i in range(len(keys))]
     steps = [i / RANGES for i in range(1, RANGES)]
     edges = df.join(large, same).groupBy(*names).agg(F.percentile_approx(order, steps, 2000).alias("__edges"))
-    edges = sized(edges, "edges", 20_000)
+    edges = sized(edges, "edges")
     below = F.size(F.filter("__edges", lambda e: e < F.col(order)))
     cut = df.join(edges, same, "left").withColumn("__range", F.coalesce(F.when(F.col("__edges").isNotNull(), below), F.lit(0))).withColumn("__hot", F.col("__edges").isNotNull()).drop("__edges", *names)
     sums = cut.filter("__hot").groupBy(*keys, "__range").agg(add.alias("__sum"))

@@ -6,6 +6,8 @@ joins on the tenant, so no query ever sees another tenant's rows.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import clamp, terms
 from marlstone.functions.vector import usable
-from marlstone.operators.index import postings
 from marlstone.operators.sized import sized
+from marlstone.operators.stored import NARROW, LiveIndex, StoredIndex, opened, tenant_bucket
 from marlstone.session import materialize
 
 # Constant of reciprocal-rank fusion, over-fetch of its inputs, limits of a request, context's pool.
@@ -56,6 +58,9 @@ class Filters:
         return F.col("path").startswith(self.folder) if self.folder else F.lit(True)
 
 
+Index = DataFrame | LiveIndex | StoredIndex
+
+
 def check_limit(limit: int) -> int:
     low, high = LIMIT_RANGE
     if not low <= limit <= high:
@@ -63,21 +68,47 @@ def check_limit(limit: int) -> int:
     return limit
 
 
-def _filtered(index: DataFrame, filters: Filters | None, folder_mode: str) -> DataFrame:
+def requests(queries: DataFrame) -> DataFrame:
+    """Queries as they come from outside: a missing limit is the default, one out of range fails the batch."""
+    low, high = LIMIT_RANGE
+    k = F.coalesce(F.col("k").cast("int"), F.lit(DEFAULT_LIMIT))
+    return queries.withColumn("k", F.when(k.between(low, high), k).otherwise(F.raise_error(F.lit(f"limit must be from {low} to {high}")).cast("int")))
+
+
+def _kept(rows: DataFrame, filters: Filters | None, folder_mode: str) -> DataFrame:
     if folder_mode not in ("pre", "post"):
         raise ValueError("folder_mode is 'pre' or 'post'")
     filters = filters or Filters()
-    rows = index.filter(F.col("text").isNotNull() & filters.payload())
+    rows = rows.filter(filters.payload())
     return rows.filter(filters.in_folder()) if folder_mode == "pre" else rows
 
 
-def _blocked(rows: DataFrame, other: DataFrame, own: str, theirs: str, key: str) -> DataFrame:
+class _Batch:
+    """A batch of queries, written once, with its largest limit and the buckets of its tenants."""
+
+    def __init__(self, queries: DataFrame, index: Index):
+        self.index, self.queries = opened(index), sized(queries.withColumn("terms", F.array_distinct(terms("query_text"))), "queries")
+        self.most, self.buckets = self.queries.agg(F.coalesce(F.max("k"), F.lit(0)), F.collect_set(tenant_bucket())).first()
+
+    def rows(self) -> DataFrame:
+        return self.index.rows(self.buckets)
+
+    def with_payload(self, hits: DataFrame) -> DataFrame:
+        """Stored hits with the payload of their rows; texts are read for the tenants asked for and moved for the hits alone."""
+        return self.rows().select("row_id", *RESULT).join(hits, "row_id").select("query_id", "rank", "row_id", "score", *RESULT)
+
+
+def _tenant_blocks(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """(user_id, qb, pb): in how many blocks the queries and the rows of a tenant are cut."""
+    both = queries.select("user_id", F.lit(1).alias("q"), F.lit(0).alias("p")).unionByName(points.select("user_id", F.lit(0).alias("q"), F.lit(1).alias("p")))
+    sizes = both.groupBy("user_id").agg(F.ceil(F.sum("q") / BLOCK).alias("qb"), F.ceil(F.sum("p") / BLOCK).alias("pb")).filter("qb > 0 AND pb > 0")
+    return sized(sizes, "tenants")
+
+
+def _blocked(rows: DataFrame, tenants: DataFrame, own: str, own_as: str, other: str, other_as: str) -> DataFrame:
     """Rows with their own block, repeated for every block of the other side of their tenant."""
-    sizes = rows.groupBy("user_id").count().select("user_id", F.ceil(F.col("count") / BLOCK).alias("n_own"))
-    facing = other.groupBy("user_id").count().select("user_id", F.ceil(F.col("count") / BLOCK).alias("n_theirs"))
-    joined = rows.join(sized(sizes.join(facing, "user_id"), "tenants"), "user_id")
-    placed = joined.withColumn(own, F.pmod(F.xxhash64(key), F.col("n_own"))).withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_theirs") - 1)))
-    return placed.drop("n_own", "n_theirs")
+    joined = rows.join(tenants, "user_id")
+    return joined.withColumn(own_as, F.pmod(F.xxhash64("id"), F.col(own))).withColumn(other_as, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).drop("qb", "pb")
 
 
 def _top_k(group: pa.Table) -> pa.Table:
@@ -107,81 +138,99 @@ def _top_k(group: pa.Table) -> pa.Table:
     return pa.table([np.concatenate(c) for c in zip(*out)], schema=schema)
 
 
-def semantic(queries: DataFrame, index: DataFrame, filters: Filters | None = None, folder_mode: str = "pre", dim: int = 64, overfetch: int = 1) -> DataFrame:
+def _semantic_hits(batch: _Batch, filters: Filters | None, folder_mode: str, dim: int, overfetch: int) -> DataFrame:
+    rows = _kept(batch.index.vectors(batch.buckets, dim), filters, folder_mode)
+    asked = batch.queries.filter(usable(F.col("vector"), dim))
+    least = F.col("least").cast("double") if "least" in asked.columns else F.lit(None).cast("double")
+    q = asked.select("user_id", F.col("query_id").alias("id"), (F.col("k") * overfetch).cast("int").alias("k"), least.alias("least"), F.col("vector").cast("array<double>").alias("vector"))
+    p = rows.select("user_id", F.col("row_id").alias("id"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("double").alias("least"), F.col("vector").cast("array<double>").alias("vector"))
+    tenants = _tenant_blocks(q, p)
+    both = _blocked(q, tenants, "qb", "x", "pb", "y").unionByName(_blocked(p, tenants, "pb", "y", "qb", "x"))
+    found = both.groupBy("user_id", "x", "y").applyInArrow(_top_k, "query_id long, row_id long, score double")
+    # rounding before ordering makes ties independent of the order of floating-point sums
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
+    ranked = found.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= batch.most * overfetch)
+    ranked = ranked.join(q.select(F.col("id").alias("query_id"), "k"), "query_id").filter(F.col("rank") <= F.col("k"))
+    return sized(ranked.select("query_id", "rank", "row_id", clamp("score").alias("score")), "semantic")
+
+
+def semantic(queries: DataFrame, index: Index, filters: Filters | None = None, folder_mode: str = "pre", dim: int = 64, overfetch: int = 1) -> DataFrame:
     """(query_id, rank, row_id, score, payload): the k rows of the query's tenant most similar to its vector.
 
     Exact. Rows and queries of a tenant are cut into blocks that meet pairwise as matrix products, so a hot tenant is
     spread over tasks; each keeps k per query. ``least`` of a query, if there, is a floor on the score. Scores are
     clamped to [0, 1]; ties go to the smaller row id. Unusable vectors take no part. ``folder_mode='post'`` filters the
-    folder after the limit, as an index without prefix search must.
+    folder after the limit, as an index without prefix search must. Of a stored index only the tenants asked for are read.
     """
-    rows = _filtered(index, filters, folder_mode).filter(usable(F.col("vector"), dim))
-    asked = queries.filter(usable(F.col("vector"), dim))
-    least = F.col("least").cast("double") if "least" in queries.columns else F.lit(None).cast("double")
-    q = asked.select("user_id", F.col("query_id").alias("id"), (F.col("k") * overfetch).cast("int").alias("k"), least.alias("least"), F.col("vector").cast("array<double>").alias("vector"))
-    p = rows.select("user_id", F.col("row_id").alias("id"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("double").alias("least"), F.col("vector").cast("array<double>").alias("vector"))
-    both = _blocked(q, p, "x", "y", "id").unionByName(_blocked(p, q, "y", "x", "id"))
-    found = both.groupBy("user_id", "x", "y").applyInArrow(_top_k, "query_id long, row_id long, score double")
-    # rounding before ordering makes ties independent of the order of floating-point sums
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
-    ranked = found.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(order))
-    limits = q.select(F.col("id").alias("query_id"), "k")
-    ranked = ranked.join(limits, "query_id").filter(F.col("rank") <= F.col("k")).drop("k")
-    out = ranked.join(rows.select("row_id", *RESULT), "row_id").withColumn("score", clamp("score"))
-    if folder_mode == "post":
-        out = out.filter((filters or Filters()).in_folder())
-    return out.select("query_id", "rank", "row_id", "score", *RESULT)
+    batch = _Batch(queries, index)
+    out = batch.with_payload(_semantic_hits(batch, filters, folder_mode, dim, overfetch))
+    return out.filter((filters or Filters()).in_folder()) if folder_mode == "post" else out
+
+
+def _lexical_hits(batch: _Batch, filters: Filters | None, folder_mode: str, overfetch: int) -> DataFrame:
+    each = batch.queries.select("user_id", "query_id", (F.col("k") * overfetch).alias("k"), "terms", F.explode("terms").alias("term"))
+    posted, often = batch.index.lists(each.select("user_id", "term").distinct())
+    named = each.join(often, ["user_id", "term"], "left").groupBy("query_id", "k").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"), F.count_if(F.col("key").isNull()).alias("unknown"))
+    # of a query all of whose terms occur, the rarest term and the others
+    named = named.filter("unknown = 0").select("query_id", "k", F.col("keys")[0]["key"].alias("key"), F.slice(F.transform("keys", lambda x: x["key"]), 2, F.greatest(F.size("keys") - 1, F.lit(1))).alias("rest"))
+    found = sized(posted.join(sized(named, "rarest"), "key").select("query_id", "k", "row_id", "field", "rest"), "candidates")
+    one = found.filter(F.size("rest") == 0).select("query_id", "k", "row_id")
+    more = found.filter(F.size("rest") > 0).select("query_id", "k", "row_id", "field", F.size("rest").alias("n"), F.explode("rest").alias("key")).withColumn("spot", F.xxhash64("key", "row_id", "field"))
+    there = posted.withColumn("spot", F.xxhash64("key", "row_id", "field"))
+    same = (there["spot"] == more["spot"]) & (there["key"] - more["key"] == 0) & (there["row_id"] - more["row_id"] == 0) & F.nullif(there["field"], more["field"]).isNull()
+    all_ = there.join(more, same).select(more["*"]).groupBy("query_id", "k", "row_id", "field", "n").count()
+    matched = sized(one.unionByName(all_.filter("count = n").select("query_id", "k", "row_id")).distinct(), "matched")
+    hits = _kept(batch.rows().select(*NARROW), filters, folder_mode).select("row_id", "path", "chunk_index").join(matched, "row_id")
+    order = Window.partitionBy("query_id").orderBy("path", "chunk_index", "row_id")
+    # the batch's largest limit lets every task drop what cannot be among the first before the exchange
+    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= batch.most * overfetch).filter(F.col("rank") <= F.col("k"))
+    return ranked.select("query_id", "rank", "row_id", "path", F.lit(1.0).alias("score"))
 
 
-def lexical(queries: DataFrame, index: DataFrame, filters: Filters | None = None, folder_mode: str = "pre", overfetch: int = 1) -> DataFrame:
+def lexical(queries: DataFrame, index: Index, filters: Filters | None = None, folder_mode: str = "pre", overfetch: int = 1) -> DataFrame:
     """(query_id, rank, row_id, score, payload): the first k rows by (path, chunk_index) of which one field holds all terms
     of the query. Fields are text, title and section_path; the score is 1.
 
-    ``k`` is at most the largest limit of a request. The inverted lists are joined by the query's rarest term first, and the other terms
-    are looked up for its rows only, so a frequent word makes no hot key; texts are moved for the results alone. A query without
-    terms matches nothing.
+    Of the inverted lists the query's rarest term is read first, by the frequencies of its terms; the other terms are looked up for
+    its rows only. Texts are moved for the results alone. A query without terms matches nothing.
     """
-    rows = _filtered(index, filters, folder_mode)
-    q = queries.select("user_id", "query_id", (F.col("k") * overfetch).alias("k"), F.array_distinct(terms("query_text")).alias("terms")).filter(F.size("terms") > 0)
-    wanted = sized(q.select("user_id", F.explode("terms").alias("term")).distinct(), "terms")
-    posted = materialize(postings(rows).join(wanted, ["user_id", "term"]), "posted")  # the corpus is tokenised once
-    often = posted.groupBy("user_id", "term").agg(F.count("*").alias("df"))
-    named = q.withColumn("term", F.explode("terms")).join(often, ["user_id", "term"], "left")
-    rarest = named.groupBy("user_id", "query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"), F.min(F.coalesce("df", F.lit(0))).alias("df"))
-    keyed = q.join(rarest.filter("df > 0").drop("df"), ["user_id", "query_id"])
-    found = posted.join(keyed, ["user_id", "term"]).select("query_id", "k", "terms", "row_id", "field")
-    one = found.filter(F.size("terms") == 1).select("query_id", "k", "row_id")
-    each = found.filter(F.size("terms") > 1).select("query_id", "k", "row_id", "field", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    all_ = each.join(posted.select("row_id", "field", "term"), ["row_id", "field", "term"]).groupBy("query_id", "k", "row_id", "field", "n").count()
-    matched = one.unionByName(all_.filter("count = n").select("query_id", "k", "row_id")).distinct()
-    hits = matched.join(rows.select("row_id", "path", "chunk_index"), "row_id")
-    order = Window.partitionBy("query_id").orderBy("path", "chunk_index", "row_id")
-    # the fixed bound lets every task drop what cannot be among the first before the exchange
-    ranked = hits.select("query_id", "row_id", "path", "chunk_index", "k").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= OVERFETCH * LIMIT_RANGE[1]).filter(F.col("rank") <= F.col("k"))
-    out = ranked.select("query_id", "rank", "row_id").join(rows.select("row_id", *RESULT), "row_id").withColumn("score", F.lit(1.0))
-    if folder_mode == "post":
-        out = out.filter((filters or Filters()).in_folder())
-    return out.select("query_id", "rank", "row_id", "score", *RESULT)
+    batch = _Batch(queries, index)
+    out = batch.with_payload(sized(_lexical_hits(batch, filters, folder_mode, overfetch), "lexical").drop("path"))
+    return out.filter((filters or Filters()).in_folder()) if folder_mode == "post" else out
 
 
 def fuse(semantic_hits: DataFrame, lexical_hits: DataFrame, limits: DataFrame, fuse_on: str = "path") -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists per query: a path's score is the sum of 1 / (rank + 60) over all its
     occurrences; its first row, semantic before lexical, stands for it; ties keep that order. ``limits`` is (query_id, k)."""
     key = {"path": "path", "chunk": "row_id"}[fuse_on]
-    listed = semantic_hits.withColumn("list", F.lit(0)).unionByName(lexical_hits.withColumn("list", F.lit(1)))
-    payload = F.struct("list", "rank", "row_id", *RESULT)
-    fused = listed.groupBy("query_id", F.col(key).alias("__key")).agg(F.sum(1.0 / (F.col("rank") + RRF_K)).alias("score"), F.min_by(payload, F.struct("list", "rank")).alias("first"))
+    carried = [c for c in semantic_hits.columns if c not in ("query_id", "rank", "row_id", "score")]
+    columns = ["query_id", "rank", "row_id", *carried]
+    listed = semantic_hits.select(*columns).withColumn("list", F.lit(0)).unionByName(lexical_hits.select(*columns).withColumn("list", F.lit(1)))
+    first = F.struct("list", "rank", "row_id", *carried)
+    fused = listed.groupBy("query_id", F.col(key).alias("__key")).agg(F.sum(1.0 / (F.col("rank") + RRF_K)).alias("score"), F.min_by(first, F.struct("list", "rank")).alias("first"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "first.list", "first.rank")
     ranked = fused.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(order))
     kept = ranked.join(limits, "query_id").filter(F.col("rank") <= F.col("k"))
-    return kept.select("query_id", "rank", F.col("first.row_id").alias("row_id"), clamp("score").alias("score"), *[F.col(f"first.{c}").alias(c) for c in RESULT])
+    return kept.select("query_id", "rank", F.col("first.row_id").alias("row_id"), clamp("score").alias("score"), *[F.col(f"first.{c}").alias(c) for c in carried])
+
+
+def hybrid(queries: DataFrame, index: Index, filters: Filters | None = None, folder_mode: str = "pre", fuse_on: str = "path") -> DataFrame:
+    """Fusion of the semantic and the lexical list, each fetched to twice the limit; payloads are read for the fused list alone."""
+    batch = _Batch(queries, index)
+    semantic_ = batch.rows().select("row_id", "path").join(_semantic_hits(batch, filters, folder_mode, 64, OVERFETCH), "row_id")
+    lists = [semantic_, _lexical_hits(batch, filters, folder_mode, OVERFETCH)]
+    if folder_mode == "post":
+        lists = [hits.filter((filters or Filters()).in_folder()) for hits in lists]
+    fused = fuse(*[h.select("query_id", "rank", "row_id", "score", "path") for h in lists], batch.queries.select("query_id", "k"), fuse_on)
+    return batch.with_payload(sized(fused.drop("path"), "fused"))
 
 
-def hybrid(queries: DataFrame, index: DataFrame, filters: Filters | None = None, folder_mode: str = "pre", fuse_on: str = "path") -> DataFrame:
-    """Fusion of the semantic and the lexical list, each fetched to twice the limit."""
-    one = semantic(queries, index, filters, folder_mode, overfetch=OVERFETCH)
-    two = lexical(queries, index, filters, folder_mode, overfetch=OVERFETCH)
-    return fuse(one, two, queries.select("query_id", "k"), fuse_on)
+def respond(search: Callable[[], DataFrame], limit: int) -> tuple[DataFrame, float]:
+    """The nested responses of a batch, written once, and its milliseconds."""
+    check_limit(limit)
+    began = time.perf_counter()
+    out = materialize(response(search(), limit), "response")
+    return out, (time.perf_counter() - began) * 1000
 
 
 def response(results: DataFrame, limit: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins whose broadcast is decided by a counted size, and connected components."""
+"""Small sides of joins, whose broadcast the planner decides by their stored size, and connected components."""
 
 from __future__ import annotations
 
@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from marlstone.session import materialize
 
-#: Most rows of a few numbers each that may be broadcast (some tens of MB); above it the join is shuffled.
+#: Most rows of a few numbers each of which a key list may be broadcast where no bytes are known.
 BROADCAST_ROWS = 500_000
 
 
-def sized(df: DataFrame, name: str = "sized", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, written once; with a broadcast hint if it has no more than ``limit`` rows, else without.
+def sized(df: DataFrame, name: str = "sized") -> DataFrame:
+    """``df``, written once, for use as a side of joins.
 
-    Meant for narrow tables. Beyond the bound the join is an ordinary shuffle join, which adaptive execution splits
-    where keys are skewed.
+    The planner knows the bytes of the written files. It broadcasts the table if they are within
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it beyond, where adaptive execution splits skewed keys; nothing
+    is hinted, and no job is run to count rows.
     """
-    stored = materialize(df, name)
-    return F.broadcast(stored) if stored.count() <= limit else stored
+    return materialize(df, name)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.functions.vector import hashing_embedder
-from marlstone.operators import changes, chunking, context, corpus, evaluate, incremental, index, metrics, packing, search
+from marlstone.functions.vector import EMBED_TOKENS, hashing_embedder
+from marlstone.operators import changes, chunking, context, corpus, evaluate, incremental, index, metrics, packing, search, stored
 from marlstone.operators.versions import newest, newest_of_few
-from marlstone.session import materialize, scratch, ship_package, table
+from marlstone.session import file_versions, materialize, path_exists, scratch, ship_package, table
 from marlstone.sources import registry
 from marlstone.streaming import jobs
 
@@ -39,18 +39,33 @@ def chunk_rows(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 
 
 def index_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The index, written once: chunks of notes, which carry metadata, and points of other files, which carry vectors."""
-    notes = newest(table(spark, sf, "chunks"), ["chunk_id"], ["upserted_at"]).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumn("vector", F.lit(None).cast("array<float>")).withColumnRenamed("chunk_id", "row_id")
-    points = newest(table(spark, sf, "points"), ["vec_id"], ["upserted_at"]).withColumnRenamed("vec_id", "row_id")
+    """Rows of the index: chunks of notes, which carry metadata, and points of other files, which carry vectors."""
+    notes = newest_of_few(table(spark, sf, "chunks"), ["chunk_id"], ["upserted_at"]).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumn("vector", F.lit(None).cast("array<float>")).withColumnRenamed("chunk_id", "row_id")
+    points = newest_of_few(table(spark, sf, "points"), ["vec_id"], ["upserted_at"]).withColumnRenamed("vec_id", "row_id")
     none = {c: F.lit(None).cast("string") for c in ("project", "status", "type", "content_hash", "extra_metadata")}
     points = points.withColumns({**none, "tags": F.array().cast("array<string>")})
     names = index.SCHEMA.fieldNames()
-    return materialize(notes.select(*names).unionByName(points.select(*names)), "index")
+    return notes.select(*names).unionByName(points.select(*names))
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def stored_index(spark: SparkSession, sf: str) -> stored.StoredIndex:
+    """The index over the given tables, written by the first query of a session that searches it and searched by the others as long as
+    the tables' files are the same."""
+    key = (spark.sparkContext.applicationId, *(x for name in ("chunks", "points") for x in file_versions(spark, f"{sf}/{name}.parquet")))
+    if key in _STORED and path_exists(spark, f"{_STORED[key]}/terms/_SUCCESS"):
+        return stored.StoredIndex(spark, _STORED[key])
+    out = stored.StoredIndex.write(index_rows(spark, sf), scratch(spark, "index"))
+    _STORED[key] = out.root
+    return out
 
 
 def request_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = newest(table(spark, sf, "search_requests"), ["request_id"], ["issued_at"])
-    return rows.select(F.col("request_id").alias("query_id"), "user_id", "category", "query_text", F.col("result_limit").alias("k"), F.col("score_threshold").alias("least"), "vector")
+    rows = rows.select(F.col("request_id").alias("query_id"), "user_id", "category", "query_text", F.col("result_limit").alias("k"), F.col("score_threshold").alias("least"), "vector")
+    return search.requests(rows)
 
 
 def term_requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +95,7 @@ _SEM = (
             QUALIFY rank <= {times} * k)"""
 )
 _LEX = r""",
-     tq AS (SELECT query_id, user_id, k, [regexp_extract_all(lower(query_text), '[\p{{L}}\p{{N}}]+')[-1]] AS terms FROM rq WHERE len(regexp_extract_all(lower(query_text), '[\p{{L}}\p{{N}}]+')) > 0),
+     tq AS (SELECT query_id, user_id, k, list_distinct(regexp_extract_all(lower(query_text), '[\p{{L}}\p{{N}}]+')) AS terms FROM rq WHERE len(regexp_extract_all(lower(query_text), '[\p{{L}}\p{{N}}]+')) > 0),
      lx AS (SELECT q.query_id, i.row_id, i.path, i.chunk_index, i.section_path, i.title, i.text, i.type, 1.0::DOUBLE AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY i.path, i.chunk_index, i.row_id) AS rank, q.k
             FROM tq q JOIN ix i ON i.user_id = q.user_id
             WHERE i.text IS NOT NULL{filter} AND (list_has_all(regexp_extract_all(lower(i.text), '[\p{{L}}\p{{N}}]+'), terms) OR list_has_all(regexp_extract_all(lower(coalesce(i.title, '')), '[\p{{L}}\p{{N}}]+'), terms)
@@ -106,10 +121,10 @@ def _lex(times: int = 1, filter_: str = "") -> str:
     return _LEX.format(times=times, filter=filter_)
 
 
-def _lex_whole(times: int = 1, filter_: str = "") -> str:
-    """As ``_lex``, with all terms of the request instead of the last."""
-    cut, whole = r"[regexp_extract_all(lower(query_text), '[\p{L}\p{N}]+')[-1]] AS terms", r"list_distinct(regexp_extract_all(lower(query_text), '[\p{L}\p{N}]+')) AS terms"
-    return _lex(times, filter_).replace(cut, whole)
+def _lex_last() -> str:
+    """As ``_lex``, with the last term of the request alone."""
+    whole, last = r"list_distinct(regexp_extract_all(lower(query_text), '[\p{L}\p{N}]+')) AS terms", r"[regexp_extract_all(lower(query_text), '[\p{L}\p{N}]+')[-1]] AS terms"
+    return _lex().replace(whole, last)
 
 
 # --- retrieval ------------------------------------------------------------------------------------------------------
@@ -120,51 +135,40 @@ def _ranked(df: DataFrame) -> DataFrame:
 @query(_BASE + _sem() + " SELECT query_id, rank, row_id, path, round(greatest(0, least(1, score)), 6) AS score FROM sm")
 def semantic_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Every request's nearest rows of its tenant, above its threshold."""
-    return _ranked(search.semantic(request_rows(spark, sf), index_rows(spark, sf)))
+    return _ranked(search.semantic(request_rows(spark, sf), stored_index(spark, sf)))
 
 
 @query(_BASE + _sem(1, " AND i.path LIKE 'Projects/%'") + " SELECT query_id, rank, row_id, path, round(greatest(0, least(1, score)), 6) AS score FROM sm")
 def semantic_folder_pre(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(search.semantic(request_rows(spark, sf), index_rows(spark, sf), search.Filters.of(folder="Projects/")))
+    return _ranked(search.semantic(request_rows(spark, sf), stored_index(spark, sf), search.Filters.of(folder="Projects/")))
 
 
 @query(_BASE + _sem() + " SELECT query_id, rank, row_id, path, round(greatest(0, least(1, score)), 6) AS score FROM sm WHERE path LIKE 'Projects/%'")
 def semantic_folder_post(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(search.semantic(request_rows(spark, sf), index_rows(spark, sf), search.Filters.of(folder="Projects/"), "post"))
+    return _ranked(search.semantic(request_rows(spark, sf), stored_index(spark, sf), search.Filters.of(folder="Projects/"), "post"))
 
 
 @query(_BASE + _lex() + " SELECT query_id, rank, row_id, path, score FROM lx")
 def lexical_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """The last term of every request; ``lexical_batch_whole`` and the other ``*_whole`` queries ask for the whole text."""
-    return _ranked(search.lexical(term_requests(spark, sf), index_rows(spark, sf)))
+    """All terms of every request's text in one field."""
+    return _ranked(search.lexical(request_rows(spark, sf), stored_index(spark, sf)))
+
+
+@query(_BASE + _lex_last() + " SELECT query_id, rank, row_id, path, score FROM lx")
+def lexical_last_term(spark: SparkSession, sf: str) -> DataFrame:
+    """The last term of every request, a name mostly: long lists, where the whole texts give short ones."""
+    return _ranked(search.lexical(term_requests(spark, sf), stored_index(spark, sf)))
 
 
 @query(_BASE + _lex(1, " AND list_has_any(i.tags, ['ops', 'draft']) AND i.status = 'active' AND i.path LIKE 'Projects/%'") + " SELECT query_id, rank, row_id, path, score FROM lx")
 def lexical_filtered(spark: SparkSession, sf: str) -> DataFrame:
     wanted = search.Filters.of(tags=("ops", "draft"), status="active", folder="Projects/")
-    return _ranked(search.lexical(term_requests(spark, sf), index_rows(spark, sf), wanted))
+    return _ranked(search.lexical(request_rows(spark, sf), stored_index(spark, sf), wanted))
 
 
 @query(_BASE + _lex() + " SELECT query_id, rank, row_id, path, score FROM lx WHERE path LIKE 'Projects/%'")
 def lexical_folder_post(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(search.lexical(term_requests(spark, sf), index_rows(spark, sf), search.Filters.of(folder="Projects/"), "post"))
-
-
-@query(_BASE + _lex_whole() + " SELECT query_id, rank, row_id, path, score FROM lx")
-def lexical_batch_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """All terms of every request's text in one field."""
-    return _ranked(search.lexical(request_rows(spark, sf), index_rows(spark, sf)))
-
-
-@query(_BASE + _lex_whole(1, " AND list_has_any(i.tags, ['ops', 'draft']) AND i.status = 'active' AND i.path LIKE 'Projects/%'") + " SELECT query_id, rank, row_id, path, score FROM lx")
-def lexical_filtered_whole(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = search.Filters.of(tags=("ops", "draft"), status="active", folder="Projects/")
-    return _ranked(search.lexical(request_rows(spark, sf), index_rows(spark, sf), wanted))
-
-
-@query(_BASE + _lex_whole() + " SELECT query_id, rank, row_id, path, score FROM lx WHERE path LIKE 'Projects/%'")
-def lexical_folder_post_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(search.lexical(request_rows(spark, sf), index_rows(spark, sf), search.Filters.of(folder="Projects/"), "post"))
+    return _ranked(search.lexical(request_rows(spark, sf), stored_index(spark, sf), search.Filters.of(folder="Projects/"), "post"))
 
 
 @query(
@@ -177,71 +181,54 @@ def lexical_folder_post_whole(spark: SparkSession, sf: str) -> DataFrame:
             OR list_has_all(regexp_extract_all(lower(coalesce(i.section_path, '')), '[\p{L}\p{N}]+'), terms))
      QUALIFY rank <= q.k"""
 )
-def lexical_all_terms(spark: SparkSession, sf: str) -> DataFrame:
+def lexical_two_terms(spark: SparkSession, sf: str) -> DataFrame:
     """The last two terms of the requests: both must occur in one field."""
     two = request_rows(spark, sf).withColumn("query_text", F.array_join(F.slice(T.terms("query_text"), F.greatest(F.size(T.terms("query_text")) - 1, F.lit(1)), 2), " "))
-    return _ranked(search.lexical(two, index_rows(spark, sf)))
+    return _ranked(search.lexical(two, stored_index(spark, sf)))
 
 
 @query(_BASE + _sem(2) + _lex(2) + _FUSE + " SELECT h.query_id, h.rank, h.row_id, h.path, round(h.score, 6) AS score FROM hy h JOIN rq USING (query_id) WHERE h.rank <= rq.k")
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     """Both lists fused by reciprocal ranks."""
-    return _ranked(search.hybrid(term_requests(spark, sf), index_rows(spark, sf)))
+    return _ranked(search.hybrid(request_rows(spark, sf), stored_index(spark, sf)))
 
 
-@query(_BASE + _sem(2) + _lex_whole(2) + _FUSE + " SELECT h.query_id, h.rank, h.row_id, h.path, round(h.score, 6) AS score FROM hy h JOIN rq USING (query_id) WHERE h.rank <= rq.k")
-def hybrid_rrf_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Both lists fused by reciprocal ranks, the lexical one of all terms."""
-    return _ranked(search.hybrid(request_rows(spark, sf), index_rows(spark, sf)))
-
-
-_FOREIGN = " SELECT (SELECT count(*) FROM sm JOIN rq USING (query_id) JOIN ix USING (row_id) WHERE ix.user_id <> rq.user_id) AS foreign_rows, (SELECT count(*) FROM sm) + (SELECT count(*) FROM lx) AS total_rows"
-
-
-def _foreign(q: DataFrame, rows: DataFrame) -> DataFrame:
-    found = search.semantic(q, rows).select("query_id", "row_id").unionByName(search.lexical(q, rows).select("query_id", "row_id"))
-    owned = found.join(rows.select("row_id", F.col("user_id").alias("owner")), "row_id").join(q.select("query_id", "user_id"), "query_id")
-    return owned.agg(F.count_if(F.col("owner") != F.col("user_id")).alias("foreign_rows"), F.count("*").alias("total_rows"))
-
-
-@query(_BASE + _sem() + _lex() + _FOREIGN)
+@query(_BASE + _sem() + _lex() + " SELECT (SELECT count(*) FROM sm JOIN rq USING (query_id) JOIN ix USING (row_id) WHERE ix.user_id <> rq.user_id) AS foreign_rows, (SELECT count(*) FROM sm) + (SELECT count(*) FROM lx) AS total_rows")
 def tenant_isolation(spark: SparkSession, sf: str) -> DataFrame:
     """Results that belong to another tenant: none."""
-    return _foreign(term_requests(spark, sf), index_rows(spark, sf))
-
-
-@query(_BASE + _sem() + _lex_whole() + _FOREIGN)
-def tenant_isolation_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _foreign(request_rows(spark, sf), index_rows(spark, sf))
+    q, rows = request_rows(spark, sf), stored_index(spark, sf)
+    found = search.semantic(q, rows).select("query_id", "row_id").unionByName(search.lexical(q, rows).select("query_id", "row_id"))
+    owned = found.join(index_rows(spark, sf).select("row_id", F.col("user_id").alias("owner")), "row_id").join(q.select("query_id", "user_id"), "query_id")
+    return owned.agg(F.count_if(F.col("owner") != F.col("user_id")).alias("foreign_rows"), F.count("*").alias("total_rows"))
 
 
 @query(
     _BASE
     + r""", t AS (SELECT user_id, row_id, 'text' AS field, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM ix
-            UNION ALL SELECT user_id, row_id, 'title', unnest(list_distinct(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'))) FROM ix
-            UNION ALL SELECT user_id, row_id, 'section_path', unnest(list_distinct(regexp_extract_all(lower(section_path), '[\p{L}\p{N}]+'))) FROM ix)
+            UNION ALL SELECT user_id, row_id, 'title', unnest(list_distinct(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'))) FROM ix WHERE text IS NOT NULL
+            UNION ALL SELECT user_id, row_id, 'section_path', unnest(list_distinct(regexp_extract_all(lower(section_path), '[\p{L}\p{N}]+'))) FROM ix WHERE text IS NOT NULL)
      SELECT user_id, term, field, count(*) AS postings FROM t GROUP BY ALL"""
 )
 def inverted_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Document frequencies of the inverted lists."""
-    return index.postings(index_rows(spark, sf)).groupBy("user_id", "term", "field").agg(F.count("*").alias("postings"))
+    """Entries of the stored inverted lists."""
+    root = stored_index(spark, sf).root
+    counted = spark.read.parquet(f"{root}/lists").groupBy("key", "field").agg(F.count("*").alias("postings"))
+    return spark.read.parquet(f"{root}/terms").join(counted, "key").select("user_id", "term", "field", "postings")
 
 
 # --- context packs --------------------------------------------------------------------------------------------------
 _BUDGET = 1000
 
 
-def _pool(requests: DataFrame, rows: DataFrame) -> DataFrame:
-    return materialize(search.hybrid(requests.withColumn("k", F.lit(search.CONTEXT_POOL)), rows), "pool")
+def _pool(requests: DataFrame, rows: stored.StoredIndex) -> DataFrame:
+    return materialize(search.hybrid(requests.withColumn("k", F.lit(search.CONTEXT_POOL)), rows), "pool")  # read twice or more
 
 
-def _notes(lexical: str) -> str:
-    return _NOTES_HEAD + lexical + _NOTES_TAIL
-
-
-_NOTES_HEAD = _BASE.replace("result_limit AS k", "50 AS k") + _sem(2)
-_NOTES_TAIL = (
-    _FUSE
+_NOTES = (
+    _BASE.replace("result_limit AS k", "50 AS k")
+    + _sem(2)
+    + _lex(2)
+    + _FUSE
     + r""",
      po AS (SELECT * FROM hy WHERE rank <= 50),
      fl AS (SELECT *, round(score / max(score) OVER (PARTITION BY query_id), 9) AS rel FROM po),
@@ -256,57 +243,27 @@ _NOTES_TAIL = (
             UNION ALL SELECT c.query_id, c.ord, CASE WHEN g.used + c.tokens <= 1000 THEN g.used + c.tokens ELSE g.used END, g.used + c.tokens <= 1000 FROM gr g JOIN cd c ON c.query_id = g.query_id AND c.ord = g.ord + 1),
      pk AS (SELECT c.* FROM cd c JOIN gr g ON g.query_id = c.query_id AND g.ord = c.ord WHERE g.taken)"""
 )
-_NOTES, _NOTES_WHOLE = _notes(_lex(2)), _notes(_lex_whole(2))
-
-
-_PACK = " SELECT query_id, section, row_number() OVER (PARTITION BY query_id, section ORDER BY ord) AS \"position\", path, round(score, 6) AS score, tokens, text FROM pk"
-_META = """ SELECT f.query_id, 1000::BIGINT AS token_budget, coalesce(p.used, 0)::BIGINT AS tokens_used, coalesce(p.n, 0) AS chunks_included, f.under AS chunks_excluded, coalesce(c.n, 0) - coalesce(p.n, 0) AS budget_rejected
-     FROM (SELECT query_id, count(*) FILTER (WHERE rel < 0.3) AS under FROM fl GROUP BY 1) f LEFT JOIN (SELECT query_id, sum(tokens) AS used, count(*) AS n FROM pk GROUP BY 1) p USING (query_id)
-     LEFT JOIN (SELECT query_id, count(*) AS n FROM cd GROUP BY 1) c USING (query_id)"""
-_OVER = " SELECT query_id, path, round(rel, 6) AS relative FROM fl WHERE rel >= 0.3"
-
-
-def _packed(pool: DataFrame) -> DataFrame:
-    pack = context.assemble(pool, budget=_BUDGET)
-    return pack.select("query_id", "section", F.col("position").cast("long").alias("position"), "path", F.round("score", 6).alias("score"), "tokens", "text")
-
-
-def _over(pool: DataFrame) -> DataFrame:
-    return context.over_floor(pool).select("query_id", "path", F.round("relative", 6).alias("relative"))
-
-
-@query(_NOTES + _PACK)
+@query(_NOTES + " SELECT query_id, section, row_number() OVER (PARTITION BY query_id, section ORDER BY ord) AS \"position\", path, round(score, 6) AS score, tokens, text FROM pk")
 def context_pack(spark: SparkSession, sf: str) -> DataFrame:
     """A context pack of 1,000 tokens for every request."""
-    return _packed(_pool(term_requests(spark, sf), index_rows(spark, sf)))
+    pack = context.assemble(_pool(request_rows(spark, sf), stored_index(spark, sf)), budget=_BUDGET)
+    return pack.select("query_id", "section", F.col("position").cast("long").alias("position"), "path", F.round("score", 6).alias("score"), "tokens", "text")
 
 
-@query(_NOTES + _META)
+@query(
+    _NOTES
+    + """ SELECT f.query_id, 1000::BIGINT AS token_budget, coalesce(p.used, 0)::BIGINT AS tokens_used, coalesce(p.n, 0) AS chunks_included, f.under AS chunks_excluded, coalesce(c.n, 0) - coalesce(p.n, 0) AS budget_rejected
+     FROM (SELECT query_id, count(*) FILTER (WHERE rel < 0.3) AS under FROM fl GROUP BY 1) f LEFT JOIN (SELECT query_id, sum(tokens) AS used, count(*) AS n FROM pk GROUP BY 1) p USING (query_id)
+     LEFT JOIN (SELECT query_id, count(*) AS n FROM cd GROUP BY 1) c USING (query_id)"""
+)
 def context_meta(spark: SparkSession, sf: str) -> DataFrame:
-    pool = _pool(term_requests(spark, sf), index_rows(spark, sf))
+    pool = _pool(request_rows(spark, sf), stored_index(spark, sf))
     return context.meta(pool, context.assemble(pool, budget=_BUDGET), budget=_BUDGET)
 
 
-@query(_NOTES + _OVER)
+@query(_NOTES + " SELECT query_id, path, round(rel, 6) AS relative FROM fl WHERE rel >= 0.3")
 def context_floor(spark: SparkSession, sf: str) -> DataFrame:
-    return _over(_pool(term_requests(spark, sf), index_rows(spark, sf)))
-
-
-@query(_NOTES_WHOLE + _PACK)
-def context_pack_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """A context pack of 1,000 tokens for the whole text of every request."""
-    return _packed(_pool(request_rows(spark, sf), index_rows(spark, sf)))
-
-
-@query(_NOTES_WHOLE + _META)
-def context_meta_whole(spark: SparkSession, sf: str) -> DataFrame:
-    pool = _pool(request_rows(spark, sf), index_rows(spark, sf))
-    return context.meta(pool, context.assemble(pool, budget=_BUDGET), budget=_BUDGET)
-
-
-@query(_NOTES_WHOLE + _OVER)
-def context_floor_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _over(_pool(request_rows(spark, sf), index_rows(spark, sf)))
+    return context.over_floor(_pool(request_rows(spark, sf), stored_index(spark, sf))).select("query_id", "path", F.round("relative", 6).alias("relative"))
 
 
 # --- chunking -------------------------------------------------------------------------------------------------------
@@ -602,7 +559,9 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_rows(spark, sf, "text").filter("text IS NOT NULL").select("chunk_id", T.content_hash("text").alias("sha"))
 
 
-@query()
+@query("""WITH c AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY upserted_at DESC) = 1),
+     h AS (SELECT chunk_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(user_id || ':' || path || ':' || chunk_index)) AS h FROM c)
+SELECT chunk_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', instr('0123456789abcdef', h[17]) % 4 + CASE WHEN instr('0123456789abcdef', h[17]) % 4 = 0 THEN 4 ELSE 0 END, 1) || h[18:20] || '-' || h[21:32] AS point_id FROM h""")
 def point_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Name-based ids of all chunks."""
     return index.with_ids(chunk_rows(spark, sf, "user_id", "path", "chunk_index")).select("chunk_id", "point_id")
@@ -613,6 +572,15 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", T.token_count("text").cast("long").alias("tokens"), F.size(F.array_distinct(T.terms("text"))).cast("long").alias("terms"))
 
 
+_BLANK_TOK = r"'[ \t\n\r\f\x0B]*(?:[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\r\f\x0B])'"
+
+
+@query(f"SELECT doc_id, sha256(array_to_string(regexp_extract_all(text, {_BLANK_TOK})[1:8191], '')) AS whole, array_to_string(regexp_extract_all(text, {_BLANK_TOK})[1:40], '') AS start FROM documents WHERE text IS NOT NULL")
+def truncated_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts cut to what an embedder takes, and to 40 tokens."""
+    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", T.content_hash(T.truncate_tokens("text", EMBED_TOKENS)).alias("whole"), T.truncate_tokens("text", 40).alias("start"))
+
+
 @query(r"""SELECT CASE WHEN e IN ('png', 'jpg', 'jpeg', 'gif', 'svg', 'webp', 'bmp') THEN 'image' WHEN e IN ('md', 'pdf', 'csv', 'canvas', 'excalidraw') THEN e ELSE 'md' END AS file_type, count(*) AS files
      FROM (SELECT lower(regexp_extract(string_split(path, '/')[-1], '\.([^.]*)$', 1)) AS e FROM indexed_files) GROUP BY 1""")
 def file_types(spark: SparkSession, sf: str) -> DataFrame:
@@ -745,13 +713,15 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")
 
 
-@query()
+@query("""
+SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, count(*) AS total FROM events
+WHERE time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""")
 def stream_windowed(spark: SparkSession, sf: str) -> DataFrame:
     """Five-minute counts of the event stream whose window the watermark has passed."""
     out = scratch(spark, "stream")
     counts = jobs.windowed_counts(_stream(spark, sf, "events"), ["event_type"])
     counts.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{out}/data")
+    return spark.read.schema(counts.schema).parquet(f"{out}/data").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, count(*) AS deliveries, count(DISTINCT event_id) AS events FROM file_change_events GROUP BY 1")

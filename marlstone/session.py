@@ -76,6 +76,21 @@ def delete_path(spark: SparkSession, location: str) -> None:
     fs.delete(path, True)
 
 
+def path_exists(spark: SparkSession, location: str) -> bool:
+    path, fs = _path(spark, location)
+    return fs.exists(path)
+
+
+def file_versions(spark: SparkSession, location: str) -> list[tuple[str, int, int]]:
+    """(path, length, modification time) of the files of a location."""
+    out = []
+    for name in sorted(spark.read.parquet(location).inputFiles()):
+        path, fs = _path(spark, name)
+        status = fs.getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return out
+
+
 _WRITTEN: list[str] = []
 
 

@@ -56,6 +56,8 @@ def test_wiki_links(spark):
 
 def test_truncation(spark):
     assert one(spark, T.truncate_tokens("t", 3), t="one two, three") == "one two,"
+    assert one(spark, T.truncate_tokens("t", 20_000), t="a b\n" * 10_500) == ("a b\n" * 10_000).rstrip("\n")
+    assert one(spark, T.truncate_tokens("t", 5), t="w" * 100_000) == "w" * 100_000
 
 
 def test_hash(spark):

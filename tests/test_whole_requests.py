@@ -35,7 +35,7 @@ def asked(sf, tmp_path_factory):
 
 @pytest.mark.parametrize("name", WHOLE)
 def test_whole_text_matches_its_sql(spark, asked, name):
-    oracle.assert_matches(spark, asked, oracle.connect(asked), core.QUERIES[f"{name}_whole"], core.ORACLE[f"{name}_whole"])
+    oracle.assert_matches(spark, asked, oracle.connect(asked), core.QUERIES[name], core.ORACLE[name])
 
 
 def test_every_word_of_the_request_counts(spark, asked):
@@ -43,10 +43,10 @@ def test_every_word_of_the_request_counts(spark, asked):
     rows = {r.row_id: r for r in core.index_rows(spark, asked).select("row_id", "text", "title", "section_path").collect()}
     con = oracle.connect(asked)
     words = lambda t: {w for (w,) in con.execute(r"SELECT unnest(regexp_extract_all(lower(?), '[\p{L}\p{N}]+'))", [t or ""]).fetchall()}
-    found = core.QUERIES["lexical_batch_whole"](spark, asked).collect()
+    found = core.QUERIES["lexical_batch"](spark, asked).collect()
     assert found
     assert all(any(texts[r.query_id] <= words(t) for t in (rows[r.row_id].text, rows[r.row_id].title, rows[r.row_id].section_path)) for r in found)
-    assert len(found) < core.QUERIES["lexical_batch"](spark, asked).count()
+    assert len(found) < core.QUERIES["lexical_last_term"](spark, asked).count()
 
 
 def test_entry_asks_for_the_whole_text(spark, monkeypatch):
