@@ -5,7 +5,10 @@ Axes are concatenated until buckets hold about ``BUCKET`` points (a last axis ma
 of ``tables`` tables a point is stored in its own bucket and a query looks into its ``probes`` nearest ones. Inside a bucket
 queries are compared with points by matrix products of 8-bit copies; what is left over all tables is ranked by exact
 cosines. Buckets of more than ``BLOCK`` points or queries are cut into blocks that meet pairwise in different tasks, so
-a hot bucket is neither cut short nor held by one task.
+a hot bucket is neither cut short nor held by one task. Every comparison keeps the best few of a query only.
+
+Equal vectors enter the tables once: a class of copies is looked up by its smallest id and handed to all of its members,
+so a vector that a third of all rows share costs no more than one.
 """
 
 from __future__ import annotations
@@ -110,9 +113,8 @@ def _bytes(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _entries(vectors: DataFrame, role: str, dim: int, bits: int, tables: int, probes: int, with_vector: bool = True) -> DataFrame:
-    """Bucket entries of (id, vector). Role bits: 1 stored here, 2 looking here. ``role`` is point, query or both."""
-    width = 1 if role == "point" else probes
+def _hashed(vectors: DataFrame, dim: int, bits: int, tables: int, probes: int) -> DataFrame:
+    """(id, v, own, near), written once: the 8-bit copy of every vector, its own bucket in each table, and the ``probes`` - 1 next ones."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -121,15 +123,22 @@ def _entries(vectors: DataFrame, role: str, dim: int, bits: int, tables: int, pr
             x = _matrix(part.column(1), dim)
             x /= np.abs(x).max(1, keepdims=True)  # before squaring, so that tiny and huge numbers keep their direction
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            ids = part.column(0).to_numpy()
             small = np.rint(x * (127 / np.abs(x).max(1, keepdims=True))).astype(np.int8)
-            for t, codes in enumerate(hash_codes(x.astype(np.float32), bits, tables, width)):
-                for j in range(codes.shape[1]):
-                    flag = 1 if role == "point" else 3 if role == "both" and j == 0 else 2
-                    cols = [pa.array(codes[:, j] * tables + t), pa.array(ids), pa.array(np.full(len(ids), flag, np.int32))]
-                    yield pa.RecordBatch.from_arrays(cols + ([_bytes(small)] if with_vector else []), names=["bucket", "id", "role", "v"][: 3 + with_vector])
+            codes = [c * tables + t for t, c in enumerate(hash_codes(x.astype(np.float32), bits, tables, probes))]
+            lists = []
+            for rows in (np.hstack([c[:, :1] for c in codes]), np.hstack([c[:, 1:] for c in codes])):
+                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel())))
+            yield pa.RecordBatch.from_arrays([part.column(0), _bytes(small), *lists], names=["id", "v", "own", "near"])
+
+    return materialize(vectors.select("id", "vector").mapInArrow(batches, "id long, v binary, own array<long>, near array<long>"), "hashed")
 
-    return vectors.select("id", "vector").mapInArrow(batches, "bucket long, id long, role int" + ", v binary" * with_vector)
+
+def _entries(hashed: DataFrame, role: str) -> DataFrame:
+    """Bucket entries (bucket, id, role, v). Role bits: 1 stored here, 2 looking here. ``role`` is point, query or both."""
+    flagged = lambda codes, flag: F.transform(codes, lambda c: F.struct(c.alias("bucket"), F.lit(flag).alias("role")))
+    own = flagged("own", {"point": 1, "query": 2, "both": 3}[role])
+    places = own if role == "point" else F.concat(own, flagged("near", 2))
+    return hashed.select("id", "v", F.explode(places).alias("e")).select("e.bucket", "id", "e.role", "v")
 
 
 def _blocks(entries: DataFrame, hot: DataFrame) -> DataFrame:
@@ -156,6 +165,7 @@ def _compare(k: int, least: float | None, distinct: bool, dim: int):
         v = np.frombuffer(b"".join(group.column("v").to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
         v /= np.linalg.norm(v, axis=1, keepdims=True)
         has, asks = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+        has = has[np.argsort(ids[has], kind="stable")]  # among equals smaller ids come first
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(asks), 1024):
             q = asks[at : at + 1024]
@@ -164,14 +174,16 @@ def _compare(k: int, least: float | None, distinct: bool, dim: int):
             s = v[q] @ v[has].T
             if distinct:
                 s[ids[q][:, None] == ids[has][None, :]] = -2
-            if least is not None:
-                a, b = np.nonzero(s >= least - SLACK)
-            else:
-                m = min(k * SPARE, len(has))
-                b = np.argpartition(-s, m - 1, axis=1)[:, :m].ravel()
-                a = np.repeat(np.arange(len(q)), m)
-                ok = s[a, b] > -2
-                a, b = a[ok], b[ok]
+            floor = -1.5 if least is None else least - SLACK
+            m = k * SPARE
+            if len(has) > m:  # the best m of each query and what equals the last of them
+                floor = np.maximum(np.partition(s, len(has) - m, axis=1)[:, len(has) - m], floor)[:, None]
+            a, b = np.nonzero(s >= floor)
+            order = np.lexsort((b, -s[a, b], a))
+            a, b = a[order], b[order]
+            first = np.searchsorted(a, np.arange(len(q)))
+            kept = np.arange(len(a)) - first[a] < m
+            a, b = a[kept], b[kept]
             found.append((ids[q[a]], ids[has[b]], s[a, b]))
         if not found:
             return schema.empty_table()
@@ -180,9 +192,40 @@ def _compare(k: int, least: float | None, distinct: bool, dim: int):
     return compare
 
 
-def nearest(
-    points: DataFrame, queries: DataFrame | None = None, k: int = K, least: float | None = None, dim: int = 64, tables: int | None = None, probes: int = PROBES, bits: int | None = None
-) -> DataFrame:
+def _prepared(rows: DataFrame, dim: int) -> DataFrame:
+    return rows.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).filter(valid(F.col("vector"), dim))
+
+
+class Points:
+    """Points hashed into tables, for one or more calls of ``nearest``. ``asking`` if they will ask too.
+
+    Of every class of equal vectors only the smallest id is hashed. Classes go by two hashes of the vector, 96 bits together.
+    Without ``bits`` and ``tables`` their numbers follow from the number of points and from ``least``.
+    """
+
+    def __init__(self, points: DataFrame, least: float | None = None, dim: int = 64, tables: int | None = None, probes: int = PROBES, bits: int | None = None, asking: bool = True):
+        points = _prepared(points, dim)
+        keyed = points.select("id", F.xxhash64("vector").alias("h"), F.hash("vector").alias("g"))
+        several = sized(keyed.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies")
+        #: (id, rep) of the members of classes of more than one
+        self.members = None if several.isEmpty() else sized(keyed.join(several, ["h", "g"]).select("id", "rep"), "members")
+        if self.members is not None:
+            points = points.join(self.members.filter("id <> rep").select("id"), "id", "left_anti")
+        self.rows, self.count, self.dim, self.probes = points, points.count(), dim, probes
+        self.bits = bits or max(1, math.ceil(math.log2(max(2.0, self.count / BUCKET))))
+        self.tables = tables or (TABLES if least is None else tables_for(least, dim, self.bits, probes))
+        self.codes = self.hashed(points, probes if asking else 1)
+
+    def hashed(self, vectors: DataFrame, probes: int) -> DataFrame:
+        return _hashed(vectors, self.dim, self.bits, self.tables, probes)
+
+    def some_members(self, k: int) -> DataFrame:
+        """(point, member): of a class no query needs more than the first k + 1 members, itself among them."""
+        place = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
+        return sized(self.members.withColumn("place", place).filter(F.col("place") <= k + 1).select(F.col("rep").alias("point"), F.col("id").alias("member")), "some")
+
+
+def nearest(points: DataFrame | Points, queries: DataFrame | None = None, k: int = K, least: float | None = None, dim: int = 64, **settings) -> DataFrame:
     """(query, point, cosine, rank): the ``k`` points most similar to every query, by cosine, then by smaller id.
 
     ``points`` and ``queries`` are (id, vector) with one row per id; without ``queries`` every point asks, and is no
@@ -190,28 +233,29 @@ def nearest(
     are null, of another length, all zero or not finite take no part, on either side; equal vectors are neighbours
     with cosine 1. Other columns are ignored. An empty side gives no row. Neighbours whose bucket no probe reaches
     in any table are missed; the share is measured in the tests. Without ``tables`` their number grows with the buckets, so
-    that the share found at ``least`` stays at ``RECALL``.
+    that the share found at ``least`` stays at ``RECALL``. Among vectors that differ by less than 8-bit copies show, more than
+    ``SPARE`` * ``k`` near one query, some of the best may be missed; copies are not concerned. ``settings`` are those of
+    ``Points``, which may be given instead of the table where several calls share it.
     """
     both = queries is None
-    points = points.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).filter(valid(F.col("vector"), dim))
-    asking = points if both else queries.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).filter(valid(F.col("vector"), dim))
-    if bits is None:
-        bits = max(1, math.ceil(math.log2(max(2.0, points.count() / BUCKET))))
-    if tables is None:
-        tables = TABLES if least is None else tables_for(least, dim, bits, probes)
-
-    def entries(with_vector: bool) -> DataFrame:
-        if both:
-            return _entries(points, "both", dim, bits, tables, probes, with_vector)
-        return _entries(points, "point", dim, bits, tables, probes, with_vector).unionByName(_entries(asking, "query", dim, bits, tables, probes, with_vector))
-
-    sizes = entries(False).groupBy("bucket").agg(F.count_if(F.col("role").bitwiseAND(1) > 0).alias("p"), F.count_if(F.col("role").bitwiseAND(2) > 0).alias("q"))
-    hot = sizes.filter((F.col("p") > BLOCK) | (F.col("q") > BLOCK)).select("bucket", F.ceil(F.greatest("p", F.lit(1)) / BLOCK).alias("pb"), F.ceil(F.greatest("q", F.lit(1)) / BLOCK).alias("qb"))
-    placed = _blocks(entries(True), sized(hot, "hot"))
-    pairs = placed.groupBy("bucket", "x", "y").applyInArrow(_compare(k, least, both, dim), "query long, point long, about float")
+    if isinstance(points, DataFrame):
+        points = Points(points, least, dim, asking=both, **settings)
+    dim = points.dim
+    asking = points.rows if both else _prepared(queries, dim)
+    if both:
+        entries = _entries(points.codes, "both")
+    else:
+        entries = _entries(points.codes, "point").unionByName(_entries(points.hashed(asking, points.probes), "query"))
+    groups = ["bucket"]
+    if points.count > BLOCK or not both and asking.count() > BLOCK:  # fewer fill no block
+        sizes = entries.groupBy("bucket").agg(F.count_if(F.col("role").bitwiseAND(1) > 0).alias("p"), F.count_if(F.col("role").bitwiseAND(2) > 0).alias("q"))
+        hot = sizes.filter((F.col("p") > BLOCK) | (F.col("q") > BLOCK)).select("bucket", F.ceil(F.greatest("p", F.lit(1)) / BLOCK).alias("pb"), F.ceil(F.greatest("q", F.lit(1)) / BLOCK).alias("qb"))
+        hot = sized(hot, "hot")
+        if not hot.isEmpty():
+            entries, groups = _blocks(entries, hot), ["bucket", "x", "y"]
+    pairs = entries.groupBy(*groups).applyInArrow(_compare(k, least, both, dim), "query long, point long, about float")
     pairs = pairs.groupBy("query", "point").agg(F.max("about").alias("about"))
-    if least is None:
-        pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("about"), "point"))).filter(F.col("r") <= k * SPARE).drop("r")
+    pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("about"), "point"))).filter(F.col("r") <= k * SPARE).drop("r")
     pairs = materialize(pairs.drop("about"), "neighbours")
 
     @F.arrow_udf("double")
@@ -224,10 +268,19 @@ def nearest(
         return pa.array(np.einsum("ij,ij->i", x, y) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1))
 
     used = sized(pairs.select(F.col("point").alias("id")).union(pairs.select("query")).distinct(), "used")
-    p = points.join(used, "id", "left_semi").select(F.col("id").alias("point"), F.col("vector").cast("array<float>").alias("pv"))
+    p = points.rows.join(used, "id", "left_semi").select(F.col("id").alias("point"), F.col("vector").cast("array<float>").alias("pv"))
     q = asking.join(used, "id", "left_semi").select(F.col("id").alias("query"), F.col("vector").cast("array<float>").alias("qv"))
     ranked = pairs.join(p, "point").join(q, "query").select("query", "point", cosine("qv", "pv").alias("cosine"))
     if least is not None:
         ranked = ranked.filter(F.col("cosine") >= least)
     order = Window.partitionBy("query").orderBy(F.desc("cosine"), "point")
-    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    if points.members is None:
+        return ranked
+    some = points.some_members(k)
+    found = ranked.join(some, "point", "left").select("query", F.coalesce("member", "point").alias("point"), "cosine")
+    if both:  # a class asks once; every member gets the answer and its fellows
+        fellows = some.select(F.col("point").alias("query"), F.col("member").alias("point"), F.lit(1.0).alias("cosine"))
+        found = found.unionByName(fellows).join(points.members.select(F.col("rep").alias("query"), F.col("id").alias("own")), "query", "left")
+        found = found.select(F.coalesce("own", "query").alias("query"), "point", "cosine").filter("query <> point")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -126,6 +126,7 @@ UNION ALL SELECT 'search', q, p FROM rp""")
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of points, and of requests and points, of cosine 0.9 or more among the ten most similar."""
     points, requests = _vectors(spark, sf)
+    points = knn.Points(points, least=0.9)
     near = knn.nearest(points, least=0.9).select(F.least("query", "point").alias("id_a"), F.greatest("query", "point").alias("id_b")).distinct()
     asked = knn.nearest(points, requests, least=0.9).select(F.col("query").alias("id_a"), F.col("point").alias("id_b"))
     return near.select(F.lit("point").alias("pair_kind"), "id_a", "id_b").unionByName(asked.select(F.lit("search").alias("pair_kind"), "id_a", "id_b"))
@@ -135,9 +136,10 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The ten most similar points of every request and of every point whose id is divisible by 50, at any cosine."""
     points, requests = _vectors(spark, sf)
-    some = knn.nearest(points, points.filter("id % 50 = 0"), k=knn.K + 1, **knn.WIDE).filter("query <> point")
+    asking, points = points.filter("id % 50 = 0"), knn.Points(points, asking=False, **knn.WIDE)
+    some = knn.nearest(points, asking, k=knn.K + 1).filter("query <> point")
     some = some.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).filter(F.col("rank") <= knn.K)
-    asked = knn.nearest(points, requests, **knn.WIDE)
+    asked = knn.nearest(points, requests)
     return some.withColumn("query_kind", F.lit("point")).unionByName(asked.withColumn("query_kind", F.lit("search"))).select("query_kind", "query", "rank", "point", F.round("cosine", 6).alias("cosine"))
 
 

@@ -53,7 +53,39 @@ def test_hot_buckets_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(knn, "BLOCK", 8)
     found = knn.nearest(frame(spark, enumerate(vectors)), least=0.9)
     order, _ = exact(vectors, vectors, 10, True)
-    assert {(r.query, r.point) for r in found.collect()} == {(i, int(j)) for i in range(60) for j in order[i]}
+    got = {(r.query, r.point) for r in found.collect()}
+    assert len(got) == 600 and len(got & {(i, int(j)) for i in range(60) for j in order[i]}) >= 0.99 * 600
+
+
+def test_copies_of_a_vector_cost_no_more_than_one(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(4, 64))
+    vectors = [base[0]] * 40 + [base[1]] * 3 + [base[2], base[0] + 0.01 * base[3]]
+    stored = []
+    real = knn.materialize
+    monkeypatch.setattr(knn, "materialize", lambda df, name="stage": stored.append((name, real(df, name))) or stored[-1][1])
+    df = frame(spark, enumerate(vectors))
+    found = {(r.query, r["rank"]): r.point for r in knn.nearest(df, k=3, least=0.9).collect()}
+    for i in range(40):  # the smallest ids among the copies
+        assert [found[i, r] for r in (1, 2, 3)] == [j for j in range(4) if j != i][:3]
+    assert [found[40, r] for r in (1, 2)] == [41, 42] and (40, 3) not in found
+    assert [found[44, r] for r in (1, 2, 3)] == [0, 1, 2]
+    assert dict(stored)["hashed"].count() == 4 and dict(stored)["neighbours"].count() <= 4
+    asked = df.filter("id in (7, 44)")
+    found = {(r.query, r["rank"]): r.point for r in knn.nearest(df, asked, k=3, least=0.9).collect()}
+    assert [found[7, r] for r in (1, 2, 3)] == [0, 1, 2] and [found[44, r] for r in (1, 2, 3)] == [44, 0, 1]
+
+
+def test_dense_clusters_store_a_few_pairs_for_each_query(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=64) + 0.05 * rng.normal(size=(700, 64))
+    stored = {}
+    real = knn.materialize
+    monkeypatch.setattr(knn, "materialize", lambda df, name="stage": stored.setdefault(name, real(df, name)))
+    found = {(r.query, r.point) for r in knn.nearest(frame(spark, enumerate(vectors)), least=0.9).collect()}
+    order, _ = exact(vectors, vectors, 10, True)
+    assert stored["neighbours"].count() <= 700 * knn.K * knn.SPARE
+    assert len(found & {(i, int(j)) for i in range(700) for j in order[i]}) >= 0.99 * 7000
 
 
 def test_ties_bad_vectors_and_scales(spark):
