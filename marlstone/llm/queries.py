@@ -166,7 +166,7 @@ SELECT p.request_id, p.vec_id FROM pts p WHERE NOT EXISTS (
   SELECT 1 FROM lost JOIN m USING (request_id) WHERE lost.request_id = p.request_id AND lost.vec_id = p.vec_id AND 2 * won <= m)""")
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Points of the fused ranking that beat every other point of their request."""
-    return rankfuse.majority_winners(_fused(spark, sf), "request_id", "vec_id")
+    return rankfuse.winners(table(spark, sf, "search_results"), "request_id", "vec_id", version="scored_at")
 
 
 @query(_SCORES + """,

@@ -76,6 +76,19 @@ def test_against_the_definition(spark):
     assert {tuple(r) for r in rankfuse.majority_winners(fused(df), "request", "item").collect()} == winners(scored)
 
 
+def test_requests_too_large_for_a_task(spark, monkeypatch):
+    rows = data(3)
+    df = spark.createDataFrame(rows, KIND)
+    columns = ["request", "item", "significance", "mean", "position", "n", "ranks", "scored"]
+    whole = sorted(map(tuple, fused(df).select(*columns).collect()))
+    assert {tuple(r) for r in rankfuse.winners(df, "request", "item", version="at").collect()} == winners(plain(rows)[1])
+    monkeypatch.setattr(rankfuse, "WHOLE", 15)
+    monkeypatch.setattr(ranking, "GROUP_ROWS", 4)
+    assert len(rankfuse._sides(df, "request", "item", "channel", "score", "at")) == 2
+    assert sorted(map(tuple, fused(df).select(*columns).collect())) == whole
+    assert {tuple(r) for r in rankfuse.winners(df, "request", "item", version="at").collect()} == winners(plain(rows)[1])
+
+
 def test_winners_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(rankfuse, "FOLD", 2)
     rows = data(2)
@@ -105,5 +118,6 @@ def test_nothing(spark):
     df = spark.createDataFrame([(1, 1, "a", None, 0), (None, 1, "a", 1.0, 0)], KIND)
     assert fused(df).count() == 0
     assert rankfuse.majority_winners(fused(df), "request", "item").count() == 0
+    assert rankfuse.winners(df, "request", "item", version="at").count() == 0
     lone = spark.createDataFrame([(1, 1, "a", 0.0, 0), (1, 2, "a", None, 0)], KIND)
     assert [tuple(r) for r in rankfuse.majority_winners(fused(lone), "request", "item").collect()] == [(1, 1)]
