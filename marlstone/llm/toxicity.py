@@ -32,7 +32,10 @@ from marlstone.llm.markup import _TAG as TAG
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Most labelled documents that training looks at, of reported and of ordinary ones; taken by a hash of the id.
 MAX_REPORTED, MAX_ORDINARY = 6000, 6000
-DICT_BYTES, LEVEL, FOLDS, ROUNDS = 262144, 19, 4, 2
+DICT_BYTES, FOLDS, ROUNDS = 262144, 4, 2
+#: Level of compression that decides, a level that is much quicker, and the gain per byte under which a window is left to the
+#: latter; decisions are made from LEAST upwards.
+LEVEL, QUICK, SCREEN = 19, 3, 0.04
 #: Most windows a dictionary is trained on (they come in random order), and the length of its segments.
 MAX_WINDOWS, SEGMENT = 30_000, 96
 #: Shortest and longest window in characters, and how many two cut from one sentence share, more than an offending phrase
@@ -51,6 +54,9 @@ _LEET = str.maketrans("0134578@$", "oieastbas")
 _APART = re.compile(r"(?<!\w)(?:[^\W\d_]([ \t.*_\-·])(?:[^\W\d_]\1){1,}[^\W\d_])(?!\w)")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
 _TOKEN = re.compile(r"[\w@$]+")
+_MARKED = re.compile(r"[^\W\d]*[\d@$][\w@$]*")
+_LATIN, _OTHER = re.compile(r"[^\W\d_\u0250-\U0010ffff]"), re.compile(r"[^\W\d_\x00-\u024f]")
+_UNSEEN = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _END = re.compile(r"(?<=[.!?…。！？])[\"'’”»)\]]*\s+|\s*\n[^\S\n]*\n\s*")
 _LINE = re.compile(r"[\n\r\x0b\x0c\x85\u2028\u2029]+")
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\s]*\)")
@@ -61,6 +67,18 @@ _ALT = re.compile(r"\salt\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S+))", re.I)
 _SPACES = re.compile(r"\s+")
 
 
+class _Visible(dict):
+    """Code points as they are, None for marks, format and control characters; learnt as they come."""
+
+    def __missing__(self, point: int) -> int | None:
+        c = chr(point)
+        self[point] = None if unicodedata.category(c) in ("Mn", "Cf", "Cc") and c not in "\t\n\r" else point
+        return self[point]
+
+
+_VISIBLE = _Visible()
+
+
 def _token(m: re.Match) -> str:
     w = m.group()
     letters = [c for c in w if c.isalpha()]
@@ -87,11 +105,22 @@ def _visible(m: re.Match) -> str:
 
 def normalise(text: str) -> str:
     """Lower-case text with the usual disguises of words undone and numbers reduced to 0; of links and images the label."""
-    text = html.unescape(TAG.sub(_visible, text))
-    text = _URL.sub(" ", _LINK.sub(r" \1 ", text))
-    text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) not in ("Mn", "Cf", "Cc") or c in "\t\n\r")
+    if "<" in text:
+        text = TAG.sub(_visible, text)
+    if "&" in text:
+        text = html.unescape(text)
+    if "](" in text:
+        text = _LINK.sub(r" \1 ", text)
+    if "://" in text:
+        text = _URL.sub(" ", text)
+    if text.isascii():
+        text = _UNSEEN.sub("", text)
+    else:
+        text = unicodedata.normalize("NFKD", text).translate(_VISIBLE)
     text = _APART.sub(lambda m: m.group().replace(m[1], ""), text.lower())
-    text = _TOKEN.sub(_token, text)
+    # a word needs a look only if it has digits or signs, or letters of two alphabets
+    mixed = not text.isascii() and _OTHER.search(text) and _LATIN.search(text)
+    text = (_TOKEN if mixed else _MARKED).sub(_token, text)
     return _SPACES.sub(" ", _RUN.sub(r"\1", text)).strip()
 
 
@@ -143,45 +172,61 @@ def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
 class _Gauge:
     """Compressed lengths under one dictionary."""
 
-    def __init__(self, dictionary: zstandard.ZstdCompressionDict | None):
-        options = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    def __init__(self, dictionary: zstandard.ZstdCompressionDict | None, level: int = LEVEL):
+        options = {"level": level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         if dictionary:
-            dictionary.precompute_compress(level=LEVEL)
+            dictionary.precompute_compress(level=level)
         self.press = zstandard.ZstdCompressor(dict_data=dictionary, **options) if dictionary else zstandard.ZstdCompressor(**options)
 
     def __call__(self, window: bytes) -> int:
         return len(self.press.compress(window))
 
 
+class _Gauges:
+    """Gains per byte of a window under each of several dictionaries against the first. Most windows gain nothing near a threshold at
+    the quick level and are not compressed again at the thorough one."""
+
+    def __init__(self, dictionaries: list[tuple[bytes, int] | None]):
+        def load(level: int) -> list[_Gauge]:
+            # a dictionary holds the tables of one level, so each level has its own
+            return [_Gauge(zstandard.ZstdCompressionDict(d[0], dict_type=d[1]) if d else None, level) for d in dictionaries]
+
+        self.quick, self.thorough = load(QUICK), load(LEVEL)
+
+    def __call__(self, window: bytes) -> list[float]:
+        size = len(window) + PAD
+        for gauges in (self.quick, self.thorough):
+            base = gauges[0](window)
+            gains = [(base - g(window)) / size for g in gauges[1:]]
+            if not gains or max(gains) < SCREEN:
+                break
+        return gains
+
+
+def _packed(d: zstandard.ZstdCompressionDict | None) -> tuple[bytes, int] | None:
+    data = d.as_bytes() if d else b""
+    return (data, zstandard.DICT_TYPE_FULLDICT if data[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT) if data else None
+
+
 @dataclass
 class Model:
-    ordinary: bytes
-    raw: dict[str, bytes]
-    kinds: dict[str, int]
+    #: dictionaries of ordinary and, in the order of ``names``, of offending windows
+    dictionaries: list[tuple[bytes, int] | None]
+    names: list[str]
     thresholds: dict[str, float]
     report: dict[str, float] = field(default_factory=dict)
 
-    def gauges(self) -> tuple[_Gauge, list[tuple[str, _Gauge]]]:
-        def load(name: str, data: bytes) -> _Gauge:
-            return _Gauge(zstandard.ZstdCompressionDict(data, dict_type=self.kinds[name]) if data else None)
-
-        return load("ordinary", self.ordinary), [(c, load(c, self.raw[c])) for c in CATEGORIES if c in self.raw]
+    def gauges(self) -> _Gauges:
+        return _Gauges(self.dictionaries)
 
 
-def margins(window: bytes, ordinary: _Gauge, offending: list[tuple[str, _Gauge]]) -> list[float]:
-    base = ordinary(window)
-    return [(base - g(window)) / (len(window) + PAD) for _, g in offending]
-
-
-def document_scores(text: str | None, ordinary: _Gauge, offending: list[tuple[str, _Gauge]]) -> dict[str, float]:
-    """Per category the largest margin of a window that no other category explains better; -1 for none."""
+def document_scores(text: str | None, gauges: _Gauges, names: list[str]) -> dict[str, float]:
+    """Per category the largest gain of a window that no other category explains better; -1 for none."""
     best = dict.fromkeys(CATEGORIES, -1.0)
-    for w in windows(text) if text else []:
-        m = margins(w, ordinary, offending)
-        if m:
-            k = int(np.argmax(m))
-            name = offending[k][0]
-            best[name] = max(best[name], m[k])
+    for w in windows(text) if text and names else []:
+        gains = gauges(w)
+        k = int(np.argmax(gains))
+        best[names[k]] = max(best[names[k]], gains[k])
     return best
 
 
@@ -232,16 +277,15 @@ def train(documents: list[tuple[int, str, frozenset[str]]]) -> Model:
     names = [c for c in CATEGORIES if any(c in labels for _, labels, _ in rows)]
     fold = np.array([_fold(d) for d, _, _ in rows], int)
     told = np.array([bool(labels) for _, labels, _ in rows], bool)
-    size = np.array([len(w) + PAD for w in text], float)
     order = np.random.default_rng(11).permutation(len(rows))
 
     def held_out(sides: list[np.ndarray]) -> np.ndarray:
-        """Bytes of every window under one dictionary per side, none of which has seen the window's document."""
-        out = np.zeros((len(rows), len(sides)))
+        """Gains of every window under the dictionaries of the sides after the first, none of which has seen the window's document."""
+        out = np.zeros((len(rows), len(sides) - 1))
         for f in range(FOLDS):
-            gauges = [_Gauge(_dictionary([text[i] for i in order if side[i] and fold[i] != f])) for side in sides]
+            gauges = _Gauges([_packed(_dictionary([text[i] for i in order if side[i] and fold[i] != f])) for side in sides])
             for i in np.flatnonzero(fold == f):
-                out[i] = [g(text[i]) for g in gauges]
+                out[i] = gauges(text[i])
         return out
 
     kind, suspect = _seeds(rows, names)
@@ -249,8 +293,7 @@ def train(documents: list[tuple[int, str, frozenset[str]]]) -> Model:
     gain = np.full(len(rows), -1.0)
     for _ in range(ROUNDS if names else 0):
         clean = ~told & ~suspect
-        bytes_ = held_out([clean, *[kind == 1 + k for k in range(len(names))]])
-        each = (bytes_[:, :1] - bytes_[:, 1:]) / size[:, None]
+        each = held_out([clean, *[kind == 1 + k for k in range(len(names))]])
         gain, best = each.max(1), each.argmax(1)
         kind = np.where(told & (gain > np.where(suspect, 0, KEEP)), 1 + best, 0)
     thresholds, report = {}, {}
@@ -266,27 +309,32 @@ def train(documents: list[tuple[int, str, frozenset[str]]]) -> Model:
                 best_f, at = 2 * found / (n + total), top[d]
         thresholds[c], report[c] = float(min(max(at, LEAST), MOST)), best_f
     clean = ~told & ~suspect
-    final = [_dictionary([text[i] for i in order if side[i]]) for side in [clean, *[kind == 1 + k for k in range(len(names))]]]
-    data = {n: (d.as_bytes() if d else b"") for n, d in zip(["ordinary", *names], final)}
-    kinds = {n: (zstandard.DICT_TYPE_FULLDICT if x[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT) for n, x in data.items()}
-    return Model(data["ordinary"], {n: data[n] for n in names if data[n]}, kinds, thresholds, report)
+    final = [_packed(_dictionary([text[i] for i in order if side[i]])) for side in [clean, *[kind == 1 + k for k in range(len(names))]]]
+    held = [k for k, d in enumerate(final[1:]) if d]
+    return Model([final[0], *[final[1 + k] for k in held]], [names[k] for k in held], thresholds, report)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str, frozenset[str]]]:
-    """A bounded sample of labelled documents for training: at most ``MAX_REPORTED`` + ``MAX_ORDINARY`` of them. The newest label
-    of a reviewer for a document counts, repeated rows once."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, found) of a bounded sample of labelled documents for training: at most ``MAX_REPORTED`` + ``MAX_ORDINARY`` of
+    them. The newest label of a reviewer for a document counts, repeated rows once."""
     known = labels.filter(F.col("category").isin(*CATEGORIES, "none") & F.col("doc_id").isNotNull())
     last = known.groupBy("doc_id", "reviewer").agg(F.max(F.struct("reviewed_at", "category")).alias("last"))
     votes = last.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(F.col("last.category") != "none", F.col("last.category")))).alias("found"))
     reported, calm = votes.filter(F.size("found") > 0), votes.filter(F.size("found") == 0)
     chosen = reported.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_REPORTED).unionByName(calm.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ORDINARY))
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")  # bounded by the two limits
-    rows = texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.first("found").alias("found"))
-    return sorted((r["doc_id"], r["text"], frozenset(r["found"])) for r in rows.toLocalIterator())
+    return texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.first("found").alias("found"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    return train(labelled(docs, labels))
+    """Trained in a task on an executor; only the model, four dictionaries of at most ``DICT_BYTES``, comes to the driver."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((d, t, frozenset(c)) for part in parts for d, t, c in zip(*(x.to_pylist() for x in part.columns)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], names=["model"])
+
+    model = labelled(docs, labels).select("doc_id", "text", "found").repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(model[0]) if model else train([])  # no task runs over what is known to be empty
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -296,16 +344,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     independent: no shuffle; repeated rows come out repeated; columns of ``docs`` named like an output are replaced.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # four dictionaries of at most DICT_BYTES
-    memory: dict[int, tuple] = {}
+    memory: dict[int, _Gauges] = {}
+    names = model.names
 
     @F.arrow_udf("struct<abusive:double,hateful:double,sexual:double>")
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if 0 not in memory:
             memory[0] = pickle.loads(shipped.value).gauges()
-        ordinary, offending = memory[0]
         kind = pa.struct([(c, pa.float64()) for c in CATEGORIES])
         for texts in batches:
-            yield pa.array([document_scores(t, ordinary, offending) for t in texts.to_pylist()], kind)
+            yield pa.array([document_scores(t, memory[0], names) for t in texts.to_pylist()], kind)
 
     new = [f"{c}_score" for c in CATEGORIES] + ["offends"]
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]

@@ -32,11 +32,11 @@ def model():
 
 def test_held_out_accuracy(model):
     rnd = random.Random(2)
-    ordinary, offending = model.gauges()
+    gauges = model.gauges()
     hits = misses = false = 0
     for i in range(600):
         kind = rnd.choice([None, *BAD])
-        scores = toxicity.document_scores(document(rnd, kind), ordinary, offending)
+        scores = toxicity.document_scores(document(rnd, kind), gauges, model.names)
         found = {c for c, s in scores.items() if s >= model.thresholds[c]}
         hits += kind in found
         misses += kind is not None and kind not in found
@@ -50,9 +50,9 @@ def test_disguises(raw, plain):
 
 
 def test_disguised_text_is_found(model):
-    ordinary, offending = model.gauges()
-    plain = toxicity.document_scores("Shut your mouth bakori, you useless piece of dirt.", ordinary, offending)
-    hidden = toxicity.document_scores("Ѕhut yоur m0uth bakori, you u s e l e s s piece of diiiirt.", ordinary, offending)
+    gauges = model.gauges()
+    plain = toxicity.document_scores("Shut your mouth bakori, you useless piece of dirt.", gauges, model.names)
+    hidden = toxicity.document_scores("Ѕhut yоur m0uth bakori, you u s e l e s s piece of diiiirt.", gauges, model.names)
     assert plain["abusive"] >= model.thresholds["abusive"] and hidden["abusive"] >= model.thresholds["abusive"]
 
 
@@ -74,9 +74,20 @@ def test_rows(spark, model):
 def test_fit_takes_the_newest_label_and_bears_little_data(spark):
     docs = spark.createDataFrame([(1, "You fool."), (2, "The room is free."), (3, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, "r", "none", 0, 1), (1, "r", "abusive", 2, 2), (2, "r", "none", None, 1), (2, "r", "none", None, 1), (3, "r", "sexual", 1, 1), (4, "r", "abusive", 1, 1), (1, "q", "odd", 1, 9)], "doc_id long, reviewer string, category string, severity int, reviewed_at int")
-    assert toxicity.labelled(docs, labels) == [(1, "You fool.", frozenset({"abusive"})), (2, "The room is free.", frozenset())]
+    assert sorted((r.doc_id, r.text, frozenset(r.found)) for r in toxicity.labelled(docs, labels).collect()) == [(1, "You fool.", frozenset({"abusive"})), (2, "The room is free.", frozenset())]
     assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 3
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).filter(F.size("offends") > 0).count() == 0
+    assert toxicity.score(docs, toxicity.fit(docs, labels.filter("doc_id > 100"))).filter(F.size("offends") > 0).count() == 0
+
+
+def test_the_quick_level_decides_nothing(model, monkeypatch):
+    rnd = random.Random(9)
+    texts = [document(rnd, rnd.choice([None, None, *BAD])) for _ in range(300)]
+    over = lambda g: [{c for c, s in toxicity.document_scores(t, g, model.names).items() if s >= model.thresholds[c]} for t in texts]
+    screened = over(model.gauges())
+    monkeypatch.setattr(toxicity, "SCREEN", -9.0)  # every window at the thorough level
+    thorough = over(model.gauges())
+    assert sum(a != b for a, b in zip(screened, thorough)) <= 3
 
 
 @pytest.mark.parametrize(
