@@ -4,18 +4,21 @@ Each record is a set of token hashes, embedded as ``SLOTS`` minwise tokens. Inde
 recursively: the root of a tree sends a record to the child named by its minwise token in one slot; a node with more
 than ``NODE`` records chooses ``BRANCH`` slots by a hash of its path and sends each of its records to the children named
 by their tokens there. Pairs inside a small node are compared by a 128-bit sketch of the minwise tokens, and the pairs
-left over by their whole token sets. A node that is still large at the last depth holds records that agree
-everywhere; it is compared in blocks of ``NODE`` records, so no pair is lost and no task holds a whole node.
+left over by their whole token sets. A node that does not shrink any more holds records that agree everywhere; it is
+compared in blocks of ``BLOCK`` records as matrices, so no pair is lost and no task holds a whole node.
 
 Equal sets are joined first: only one representative of a class enters the trees.
 
-At similarity s a pair meets at the root of a tree with probability s, and survives each deeper level with 1 - (1-s)^BRANCH;
-BRANCH is 1 / s at s = 0.5, which keeps the rows of a level from growing. With 8 trees the expected recall is 0.996 at
-s = 0.5 without a level of branching and 0.976 with one; at 0.6 it is 0.999 and 0.996, at 0.8 above 0.9999.
+At similarity s a pair meets at the root of a tree with probability s, and shares each of ``BRANCH`` children with
+probability s; BRANCH is 1 / s at s = 0.5, which keeps the rows of a level from growing. With 8 trees the expected recall is
+0.996 at s = 0.5 without a level of branching and 0.976, 0.945 and 0.908 with one, two and three; at 0.6 it is 0.999 without
+and 0.996 with one, at 0.8 above 0.9999. Where the levels that the data need would bring it under ``RECALL`` for pairs just at
+the threshold, more trees are grown.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -31,6 +34,8 @@ from marlstone.operators.versions import newest
 from marlstone.session import materialize
 
 SLOTS, TREES, BRANCH, NODE, DEPTH = 32, 8, 2, 32, 24
+#: Expected share of pairs just at the threshold that are to be found, and records of a block of a node that does not shrink.
+RECALL, BLOCK = 0.9, 2048
 #: Least matching nibbles of 32 in two sketches, as a share of what the threshold predicts.
 SKETCH_SHARE = 0.55
 WORDS, SIMILARITY = 5, 0.8
@@ -184,36 +189,67 @@ def _pairs_in(nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     )
 
 
-def candidate_pairs(sets: DataFrame, threshold: float, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """Distinct pairs (a < b) of ids that meet in a small node and whose sketches agree.
+def trees_for(depth: int, threshold: float) -> int:
+    """Trees that find a share of ``RECALL`` of the pairs at the threshold after ``depth`` levels of branching."""
+    q = 1.0
+    for _ in range(depth):
+        q = 1 - (1 - threshold * q) ** BRANCH
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - min(threshold * q, 0.999)))
 
-    A level below the roots holds only the records of large nodes and is written once. Branching ends when no node is
-    large, or when the largest has not shrunk over two levels, or at ``depth``; what is large then is compared in
-    blocks.
-    """
-    if not 0 < trees <= SLOTS:
-        raise ValueError(f"1 to {SLOTS} trees")
-    roots = F.array(*[F.xxhash64(F.lit(t), F.col("sig")[t * SLOTS // trees]) for t in range(trees)])
+
+def _pairs_across(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of large nodes (path, n, id, s0, s1) whose sketches agree enough, block against block."""
+    least = int(SKETCH_SHARE * 32 * (threshold + (1 - threshold) / 16))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select("path", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "s0", "s1")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(group: pa.Table) -> pa.Table:
+        own, ids = group.column("own").to_numpy(), group.column("id").to_numpy()
+        # one byte a nibble, so that equal nibbles are counted by comparing
+        raw = np.stack([group.column("s0").to_numpy(), group.column("s1").to_numpy()], 1).view(np.uint8)
+        nibbles = np.concatenate([raw & 15, raw >> 4], 1)
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        left = np.flatnonzero(own == x)
+        right = left if x == y else np.flatnonzero(own == y)
+        found = []
+        for at in range(0, len(left), 64):
+            some = left[at : at + 64]
+            alike = np.zeros((len(some), len(right)), np.uint8)
+            for k in range(32):
+                alike += nibbles[some, k][:, None] == nibbles[right, k][None, :]
+            i, j = np.nonzero(alike >= least)
+            a, b = ids[some[i]], ids[right[j]]
+            keep = a < b if x == y else a != b
+            found.append(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]]))
+        out = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        return pa.table([out[0], out[1]], schema=schema)
+
+    return rows.groupBy("path", "x", "y").applyInArrow(compare, "a long, b long")
+
+
+def _grow(sets: DataFrame, threshold: float, first: int, trees: int, depth: int) -> tuple[DataFrame, int]:
+    """Pairs that meet in the trees from ``first`` on, and the levels of branching they took."""
+    # 11 is no divisor of 32, so consecutive trees begin at different slots
+    roots = F.array(*[F.xxhash64(F.lit(t), F.col("sig")[t * 11 % SLOTS]) for t in range(first, first + trees)])
     level = sets.select("id", F.explode(roots).alias("path"), _sketch(0), _sketch(1))
-    none = F.lit(0).cast("long").alias("block")
     found: list[DataFrame] = []
+    stubborn = None
     most: list[int] = []
     for d in range(depth):
         counts = level.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > NODE)
         large = sized(counts, "nodes")
         top = large.agg(F.max("n")).first()[0]
         if top is None:
-            found.append(level.select("path", none, "id", "s0", "s1"))
+            found.append(level.select("path", "id", "s0", "s1"))
             break
         rows = level.join(large, "path", "left")
-        found.append(rows.filter("n IS NULL").select("path", none, "id", "s0", "s1"))
+        found.append(rows.filter("n IS NULL").select("path", "id", "s0", "s1"))
         rows = rows.filter("n IS NOT NULL")
         most.append(top)
         if d == depth - 1 or (len(most) > 2 and top >= most[-3]):
-            blocks = F.ceil(F.col("n") / NODE)
-            rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-            block = F.least("own", "other") * 1_000_003 + F.greatest("own", "other") + 1
-            found.append(rows.select("path", block.alias("block"), "id", "s0", "s1"))
+            stubborn = _pairs_across(rows, threshold)
             break
         if d == 0:
             with_tokens = sets.select("id", "sig", F.explode(roots).alias("path")).join(large, "path")
@@ -224,7 +260,24 @@ def candidate_pairs(sets: DataFrame, threshold: float, trees: int = TREES, depth
     nodes = found[0]
     for more in found[1:]:
         nodes = nodes.unionByName(more)
-    return _pairs_in(nodes, ["path", "block"], threshold).distinct()
+    pairs = _pairs_in(nodes, ["path"], threshold)
+    return pairs if stubborn is None else pairs.unionByName(stubborn), len(most)
+
+
+def candidate_pairs(sets: DataFrame, threshold: float, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """Distinct pairs (a < b) of ids that meet in a small node and whose sketches agree.
+
+    A level below the roots holds only the records of large nodes and is written once. Branching ends when no node is
+    large, or when the largest has not shrunk over two levels, or at ``depth``; what is large then is compared in
+    blocks. If the levels taken call for more trees than ``trees``, up to one a slot, those are grown too.
+    """
+    if not 0 < trees <= SLOTS:
+        raise ValueError(f"1 to {SLOTS} trees")
+    pairs, levels = _grow(sets, threshold, 0, trees, depth)
+    needed = min(SLOTS, trees_for(levels, threshold))
+    if needed > trees:
+        pairs = pairs.unionByName(_grow(sets, threshold, trees, needed - trees, depth)[0])
+    return pairs.distinct()
 
 
 def similar_sets(sets: DataFrame, threshold: float = SIMILARITY, trees: int = TREES) -> tuple[DataFrame, DataFrame]:

@@ -64,7 +64,6 @@ _URL = re.compile(r"https?://\S+")
 # Attributes of a tag: each has a value, so that words between angle brackets are none.
 _ATTRS = re.compile(r"(?:\s+[A-Za-z_:@][\w:.-]*\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))*\s*/?\s*")
 _ALT = re.compile(r"\salt\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S+))", re.I)
-_SPACES = re.compile(r"\s+")
 
 
 class _Visible(dict):
@@ -121,7 +120,7 @@ def normalise(text: str) -> str:
     # a word needs a look only if it has digits or signs, or letters of two alphabets
     mixed = not text.isascii() and _OTHER.search(text) and _LATIN.search(text)
     text = (_TOKEN if mixed else _MARKED).sub(_token, text)
-    return _SPACES.sub(" ", _RUN.sub(r"\1", text)).strip()
+    return " ".join(_RUN.sub(r"\1", text).split())
 
 
 def _cut(plain: str) -> Iterator[str]:

@@ -47,6 +47,7 @@ def test_all_pairs_against_brute_force(spark, texts, words, threshold):
 def test_large_nodes_are_compared_in_blocks(spark, monkeypatch):
     """Near copies that agree in nearly every slot never leave their node."""
     monkeypatch.setattr(neardup, "NODE", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 12)
     base = [f"w{i}" for i in range(400)]
     texts = [(i, " ".join([*base, f"tail{i}"])) for i in range(40)]
     df = spark.createDataFrame(texts, "id long, text string")
@@ -54,6 +55,22 @@ def test_large_nodes_are_compared_in_blocks(spark, monkeypatch):
     assert links.count() == 40 * 39 // 2 and members.count() == 40
 
 
+def test_trees_grow_with_the_levels(spark, texts, monkeypatch):
+    needed = [neardup.trees_for(d, 0.5) for d in range(9)]
+    assert needed == sorted(needed) and needed[3] <= neardup.TREES < needed[8] and neardup.trees_for(8, 0.8) <= neardup.TREES
+    monkeypatch.setattr(neardup, "NODE", 3)
+    monkeypatch.setattr(neardup, "RECALL", 0.98)
+    grown = []
+    real = neardup._grow
+    monkeypatch.setattr(neardup, "_grow", lambda s, t, first, n, d: grown.append((first, n)) or real(s, t, first, n, d))
+    df = spark.createDataFrame(texts, "id long, text string")
+    sets = neardup.token_sets(df, "id", "text", neardup.WordShingles(3, 3))
+    found = {tuple(r) for r in neardup.all_pairs(*neardup.similar_sets(sets, 0.5, 4)).collect()}
+    wanted = brute(texts, 3, 0.5)
+    assert grown[0] == (0, 4) and grown[1][0] == 4
+    assert not found - wanted and len(found) >= 0.98 * len(wanted)
+
+
 def test_groups(spark, texts):
     df = spark.createDataFrame(texts, "id long, text string").withColumn("group_id", F.lit("clash")).withColumn("rep", F.lit(1))
     df = df.unionByName(df.limit(5))
