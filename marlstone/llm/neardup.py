@@ -12,8 +12,8 @@ Equal sets are joined first: only one representative of a class enters the trees
 At similarity s a pair meets at the root of a tree with probability s, and shares each of ``BRANCH`` children with
 probability s; BRANCH is 1 / s at s = 0.5, which keeps the rows of a level from growing. With 8 trees the expected recall is
 0.996 at s = 0.5 without a level of branching and 0.976, 0.945 and 0.908 with one, two and three; at 0.6 it is 0.999 without
-and 0.996 with one, at 0.8 above 0.9999. Where the levels that the data need would bring it under ``RECALL`` for pairs just at
-the threshold, more trees are grown.
+and 0.996 with one, at 0.8 above 0.9999. Where so many records need so many levels that it would be under ``RECALL`` for pairs
+just at the threshold, more trees are grown.
 """
 
 from __future__ import annotations
@@ -189,12 +189,19 @@ def _pairs_in(nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     )
 
 
-def trees_for(depth: int, threshold: float) -> int:
-    """Trees that find a share of ``RECALL`` of the pairs at the threshold after ``depth`` levels of branching."""
-    q = 1.0
-    for _ in range(depth):
-        q = 1 - (1 - threshold * q) ** BRANCH
-    return math.ceil(math.log(1 - RECALL) / math.log(1 - min(threshold * q, 0.999)))
+def expected_recall(left: list[float], trees: int, threshold: float) -> float:
+    """Share of the pairs at the threshold that ``trees`` trees find, ``left[d]`` being the share of records that are still in large
+    nodes after ``d`` + 1 levels."""
+    q, out, here = 1.0, 0.0, 1.0
+    for after in [*left, 0.0]:
+        out += (here - after) * (1 - (1 - threshold * q) ** trees)
+        q, here = 1 - (1 - threshold * q) ** BRANCH, after
+    return out
+
+
+def trees_for(left: list[float], threshold: float) -> int:
+    """Trees that find a share of ``RECALL`` of the pairs at the threshold, at most one a slot."""
+    return next((t for t in range(1, SLOTS) if expected_recall(left, t, threshold) >= RECALL), SLOTS)
 
 
 def _pairs_across(rows: DataFrame, threshold: float) -> DataFrame:
@@ -229,18 +236,20 @@ def _pairs_across(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("path", "x", "y").applyInArrow(compare, "a long, b long")
 
 
-def _grow(sets: DataFrame, threshold: float, first: int, trees: int, depth: int) -> tuple[DataFrame, int]:
-    """Pairs that meet in the trees from ``first`` on, and the levels of branching they took."""
+def _grow(sets: DataFrame, threshold: float, first: int, trees: int, depth: int) -> tuple[DataFrame, list[float]]:
+    """Pairs that meet in the trees from ``first`` on, and after each level the share of records that are in large nodes."""
     # 11 is no divisor of 32, so consecutive trees begin at different slots
     roots = F.array(*[F.xxhash64(F.lit(t), F.col("sig")[t * 11 % SLOTS]) for t in range(first, first + trees)])
     level = sets.select("id", F.explode(roots).alias("path"), _sketch(0), _sketch(1))
     found: list[DataFrame] = []
     stubborn = None
     most: list[int] = []
+    left: list[float] = []
+    size = sets.count() * trees
     for d in range(depth):
         counts = level.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > NODE)
         large = sized(counts, "nodes")
-        top = large.agg(F.max("n")).first()[0]
+        top, held = large.agg(F.max("n"), F.sum("n")).first()
         if top is None:
             found.append(level.select("path", "id", "s0", "s1"))
             break
@@ -248,6 +257,8 @@ def _grow(sets: DataFrame, threshold: float, first: int, trees: int, depth: int)
         found.append(rows.filter("n IS NULL").select("path", "id", "s0", "s1"))
         rows = rows.filter("n IS NOT NULL")
         most.append(top)
+        left.append((left[-1] if left else 1.0) * min(1.0, held / size))
+        size = held * BRANCH
         if d == depth - 1 or (len(most) > 2 and top >= most[-3]):
             stubborn = _pairs_across(rows, threshold)
             break
@@ -261,7 +272,7 @@ def _grow(sets: DataFrame, threshold: float, first: int, trees: int, depth: int)
     for more in found[1:]:
         nodes = nodes.unionByName(more)
     pairs = _pairs_in(nodes, ["path"], threshold)
-    return pairs if stubborn is None else pairs.unionByName(stubborn), len(most)
+    return pairs if stubborn is None else pairs.unionByName(stubborn), left
 
 
 def candidate_pairs(sets: DataFrame, threshold: float, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
@@ -269,12 +280,12 @@ def candidate_pairs(sets: DataFrame, threshold: float, trees: int = TREES, depth
 
     A level below the roots holds only the records of large nodes and is written once. Branching ends when no node is
     large, or when the largest has not shrunk over two levels, or at ``depth``; what is large then is compared in
-    blocks. If the levels taken call for more trees than ``trees``, up to one a slot, those are grown too.
+    blocks. If many records take so many levels that ``RECALL`` calls for more trees than ``trees``, those are grown too.
     """
     if not 0 < trees <= SLOTS:
         raise ValueError(f"1 to {SLOTS} trees")
-    pairs, levels = _grow(sets, threshold, 0, trees, depth)
-    needed = min(SLOTS, trees_for(levels, threshold))
+    pairs, left = _grow(sets, threshold, 0, trees, depth)
+    needed = trees_for(left, threshold)
     if needed > trees:
         pairs = pairs.unionByName(_grow(sets, threshold, trees, needed - trees, depth)[0])
     return pairs.distinct()

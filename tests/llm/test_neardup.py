@@ -56,8 +56,10 @@ def test_large_nodes_are_compared_in_blocks(spark, monkeypatch):
 
 
 def test_trees_grow_with_the_levels(spark, texts, monkeypatch):
-    needed = [neardup.trees_for(d, 0.5) for d in range(9)]
-    assert needed == sorted(needed) and needed[3] <= neardup.TREES < needed[8] and neardup.trees_for(8, 0.8) <= neardup.TREES
+    needed = [neardup.trees_for([1.0] * d, 0.5) for d in range(9)]
+    assert needed == sorted(needed) and needed[3] <= neardup.TREES < needed[8] and neardup.trees_for([1.0] * 8, 0.8) <= neardup.TREES
+    assert neardup.trees_for([0.1, 0.01, 0.01, 0.01, 0.01], 0.5) <= neardup.TREES
+    assert abs(neardup.expected_recall([1.0], 8, 0.5) - (1 - (1 - 0.375) ** 8)) < 1e-9
     monkeypatch.setattr(neardup, "NODE", 3)
     monkeypatch.setattr(neardup, "RECALL", 0.98)
     grown = []
