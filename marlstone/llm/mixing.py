@@ -3,7 +3,8 @@
 Sizes are tokens. The total is the largest one at which every available source can meet its share within its repeats,
 unless the caller names one. A source gets as many whole copies as fit its budget; the rest is filled from one more
 copy: every exact token length gives its proportional number of documents, and what is then left is fitted by a
-bounded-knapsack table over the lengths still available. Which documents of a length are taken is decided by a seeded hash.
+bounded-knapsack table over the lengths still available. If the table does not meet the budget to the token, more documents go
+back and the table grows, until it does or no other choice is left that could come nearer. Which documents of a length are taken is decided by a seeded hash.
 Only counts by (source, length) reach the fitting, never documents.
 """
 
@@ -19,61 +20,71 @@ from marlstone.operators.ranking import running_position
 from marlstone.operators.sized import sized
 from marlstone.session import materialize
 
-#: Largest rest, in tokens, that the knapsack table spans; above it the longest documents are taken first.
-TABLE = 1 << 18
-#: Documents of each length that are put back before the table is filled.
-GIVE_BACK = 4
+#: First span of the knapsack table in tokens, and documents of each length put back for it; both grow until the fit is the best.
+TABLE, GIVE_BACK = 1 << 16, 4
 SEED = 20250301
 
 
-def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = TABLE) -> np.ndarray:
-    """How many documents of each length to take so that the sum comes as near to the budget as possible from below."""
+def _knapsack(size: np.ndarray, free: np.ndarray, left: int) -> tuple[np.ndarray, int]:
+    """Of ``free`` documents of each size as many as come nearest to ``left`` tokens from below, and the tokens that stay."""
+    reached = np.zeros(left + 1, bool)
+    reached[0] = True
+    through = np.full(left + 1, -1, np.int32)
+    parts: list[tuple[int, int]] = []
+    for i in range(len(size)):
+        more, power = min(int(free[i]), left // int(size[i])), 1
+        while more > 0 and not reached[left]:
+            n = min(power, more)
+            more -= n
+            power *= 2
+            weight = n * int(size[i])
+            fresh = np.zeros_like(reached)
+            fresh[weight:] = reached[: left + 1 - weight]
+            fresh &= ~reached
+            through[fresh] = len(parts)
+            parts.append((i, n))
+            reached |= fresh
+        if reached[left]:
+            break
+    at = int(np.flatnonzero(reached)[-1])
+    short, taken = left - at, np.zeros(len(size), np.int64)
+    while at > 0:
+        i, n = parts[through[at]]
+        taken[i] += n
+        at -= n * int(size[i])
+    return taken, short
+
+
+def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = TABLE, back: int = GIVE_BACK) -> np.ndarray:
+    """How many documents of each length to take so that the sum comes as near to the budget as possible from below.
+
+    The fit is exact: a sum equal to the budget cannot be bettered, and short of that the table is widened until it holds every
+    choice that could matter. A best choice differs from any other full one in fewer documents than twice the longest length, as
+    of more of them some would cancel out, so no more need to go back.
+    """
     order = np.argsort(lengths)
     size, have = lengths[order].astype(np.int64), counts[order].astype(np.int64)
-    total = int((size * have).sum())
-    if budget >= total:
-        taken = have.copy()
-    else:
-        taken = (have * budget) // total if total else have * 0
-        left = budget - int((size * taken).sum())
-        for i in range(len(size) - 1, -1, -1):
-            if left <= table:
-                break
-            more = min(int(have[i] - taken[i]), -(-(left - table) // int(size[i])), left // int(size[i]))
-            taken[i] += more
-            left -= more * int(size[i])
-        for i in range(len(size)):  # a few of each length go back, so that the table has something to choose from
-            if left >= table:
-                break
-            back = min(int(taken[i]), GIVE_BACK, (table - left) // int(size[i]))
-            taken[i] -= back
-            left += back * int(size[i])
-        left = int(min(left, table))
-        reached = np.zeros(left + 1, bool)
-        reached[0] = True
-        through = np.full(left + 1, -1, np.int32)
-        parts: list[tuple[int, int]] = []
-        for i in range(len(size)):
-            free = min(int(have[i] - taken[i]), left // int(size[i]))
-            power = 1
-            while free > 0 and not reached[left]:
-                n = min(power, free)
-                free -= n
-                power *= 2
-                weight = n * int(size[i])
-                fresh = np.zeros_like(reached)
-                fresh[weight:] = reached[: left + 1 - weight]
-                fresh &= ~reached
-                through[fresh] = len(parts)
-                parts.append((i, n))
-                reached |= fresh
-            if reached[left]:
-                break
-        at = int(np.flatnonzero(reached)[-1])
-        while at > 0:
-            i, n = parts[through[at]]
-            taken[i] += n
-            at -= n * int(size[i])
+    if budget >= int((size * have).sum()):
+        return counts.astype(np.int64)
+    unit = int(np.gcd.reduce(size))  # sums are multiples of it
+    size, budget = size // unit, budget // unit
+    share = (have * budget) // int((size * have).sum())
+    left = budget - int((size * share).sum())
+    for i in range(len(size) - 1, -1, -1):  # a full choice: what is left is less than any document that could be added
+        more = min(int(have[i] - share[i]), left // int(size[i]))
+        share[i] += more
+        left -= more * int(size[i])
+    enough = 2 * int(size[-1])
+    while True:
+        given, rest = np.zeros(len(size), np.int64), left
+        for i in range(len(size)):  # short documents first, so that the table has much to choose from
+            given[i] = min(int(share[i]), back, max(0, table - rest) // int(size[i]))
+            rest += int(given[i]) * int(size[i])
+        more, short = _knapsack(size, have - share + given, rest)
+        if not short or (given >= np.minimum(share, enough)).all():
+            break
+        table, back = table * 4, back * 4
+    taken = share - given + more
     out = np.zeros(len(lengths), np.int64)
     out[order] = taken
     return out

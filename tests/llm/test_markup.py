@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +85,60 @@ def test_long_formulas_and_deep_nesting():
     assert strip_markup(mixed) == ("x " * 16 + "deep" + " x" * 16, ["markdown"])
     assert strip_markup("_*deep*_") == ("deep", ["markdown"])
     assert strip_markup(alike) == ("x " * 8 + "deep" + " x" * 8, ["markdown"])
+
+
+PAGE = """<ul><a href="/">Home</a><br/><a href="/about">About</a><br/><span>Login</span></ul>
+<div></div><div></div><div></div>
+<h2>Report</h2>
+<p>The budget of this year covers the repair of both bridges and of the road between them.</p>
+<p>Work on the first bridge starts in the spring and will be over by the end of the summer.</p>
+<div></div><div></div><div></div><div></div><div></div><div></div>
+<pre>x</pre>
+<div>© us</div>
+"""
+
+
+def test_what_surrounds_the_text_of_a_page_is_cut():
+    clean, families = markup.strip_markup(PAGE)
+    assert clean.split("\n") == [
+        "Report",
+        "",
+        "The budget of this year covers the repair of both bridges and of the road between them.",
+        "",
+        "Work on the first bridge starts in the spring and will be over by the end of the summer.",
+    ]
+    assert families == ["html"]
+    assert "Home" in markup.strip_markup(PAGE, surge=1)[0] and "© us" in markup.strip_markup(PAGE, surge=1)[0]
+
+
+@pytest.mark.parametrize("kept", ["# Head", "- item", "1. first", "`x = 1`", "$a+b$", "| a | b |\n|---|---|\n| 1 | 2 |", "\\section{Head}", "= Head =", "<h3>Head</h3>", "<li>item</li>", "```\ncode\n```"])
+def test_headings_lists_tables_code_and_formulas_stay_wherever_they_stand(kept):
+    alone = markup.strip_markup(kept)[0].strip()
+    blank = "<div></div>\n" * 8
+    page = f"{blank}Menu\n{blank}\n{kept}\n{blank}<p>{'The text of the page goes on for a while. ' * 4}</p>\n"
+    clean = markup.strip_markup(page)[0]
+    assert all(line in clean for line in alone.split("\n")) and "Menu" not in clean
+
+
+def test_short_texts_are_kept_whole():
+    assert markup.strip_markup("<p>Hi</p>")[0] == "Hi"
+    assert markup.strip_markup("Title\n\n\n\n\n\n" + "A line of text that goes on and on and on. " * 3)[0].startswith("Title")
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["<a" + " " * 20_000, "<a x" * 20_000, "<script>" * 20_000, "\\(" * 20_000, "\\[ " * 20_000, "$x" * 20_000, "```a\n" * 20_000, "\\a{" * 20_000, "\\b{" * 20_000 + "x" + "}" * 20_000, "\\a[" * 20_000, "<!DOCTYPE" * 20_000, "&" * 20_000, "{" * 20_000, "<b " + "a=" * 20_000 + ">", "{{a" * 20_000, "*a" * 20_000],
+)
+def test_hostile_texts_take_no_longer_than_others(text):
+    began = time.process_time()
+    markup.strip_markup(text)
+    assert time.process_time() - began < 1.0
+
+
+def test_no_length_or_depth_is_too_large():
+    formula = "+".join(f"x_{i}" for i in range(400))
+    assert markup.strip_markup(f"so ${formula}$ holds") == (f"so {formula} holds", ["latex"])
+    deep = "\\textbf{" * 500 + "word" + "}" * 500
+    assert markup.strip_markup(f"a {deep} b") == ("a word b", ["latex"])
+    assert markup.strip_markup("a \ue000b\ue001 \ue0023 `c`") == ("a \ue000b\ue001 \ue0023 c", ["markdown"])
+    assert markup.strip_markup("`" + "\\(`x`\\)")[0]

@@ -17,19 +17,25 @@ def best_below(lengths, counts, budget):
     return max(sums)
 
 
-@pytest.mark.parametrize("table", [1 << 18, 7])
-def test_fit_uses_what_there_is(table):
+@pytest.mark.parametrize(("table", "back"), [(1 << 16, 4), (7, 1)])
+def test_fit_is_the_best_there_is(table, back):
     rnd = random.Random(4)
-    for _ in range(200):
+    for _ in range(300):
         lengths = rnd.sample(range(1, 40), rnd.randint(1, 6))
         counts = [rnd.randint(1, 4) for _ in lengths]
         budget = rnd.randint(0, 200)
-        taken = mixing.fit_lengths(np.array(lengths), np.array(counts), budget, table)
+        taken = mixing.fit_lengths(np.array(lengths), np.array(counts), budget, table, back)
         assert all(0 <= t <= c for t, c in zip(taken, counts))
-        total = int((taken * np.array(lengths)).sum())
-        assert total <= budget
-        if budget >= sum(a * b for a, b in zip(lengths, counts)):
-            assert list(taken) == counts
+        assert int((taken * np.array(lengths)).sum()) == best_below(lengths, counts, budget)
+
+
+def test_long_documents_and_large_budgets_are_fitted_exactly():
+    rng = np.random.default_rng(1)
+    lengths = np.unique(rng.integers(200_000, 3_000_000, 50)) * 2
+    counts = rng.integers(1, 4000, len(lengths))
+    budget = int((lengths * counts).sum() // 3) // 2 * 2
+    assert int((mixing.fit_lengths(lengths, counts, budget) * lengths).sum()) == budget
+    assert list(mixing.fit_lengths(np.array([700]), np.array([10**9]), 1500)) == [2]
 
 
 def test_fit_is_exact_where_small_documents_are_left():
