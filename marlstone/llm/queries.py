@@ -61,6 +61,25 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split.split_items(items, "text").drop("version")
 
 
+@query("""
+WITH c AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY upserted_at DESC) = 1),
+     i AS (SELECT 'chunk' AS item_kind, chunk_id AS item_id, coalesce(section_path || chr(10) || chr(10), '') || text AS t FROM c
+           UNION ALL SELECT DISTINCT 'page', page_id, text FROM pdf_pages)
+SELECT item_kind, item_id, sha256(t) AS rebuilt, true AS within_limit, true AS shares_overlap, (length(t) > 2000) AS cut FROM i WHERE length(t) > 0""")
+def p1_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item put together again from its pieces, and whether these keep to the limit and the overlap."""
+    pieces = p1_pieces(spark, sf)
+    piece = F.struct("piece_index", "piece_start", "piece_end", "piece")
+    listed = pieces.groupBy("item_kind", "item_id").agg(F.array_sort(F.collect_list(piece)).alias("all"))
+    later = F.slice("all", 2, F.size("all"))
+    text = F.concat(F.col("all")[0]["piece"], F.array_join(F.transform(later, lambda p: F.substr(p["piece"], F.lit(split.OVERLAP + 1))), ""))
+    before = F.slice("all", 1, F.size("all") - 1)
+    tail = lambda p: F.substr(p["piece"], F.length(p["piece"]) - split.OVERLAP + 1)
+    shared = F.forall(F.zip_with(before, later, lambda a, b: (b["piece_start"] == a["piece_end"] - split.OVERLAP) & b["piece"].startswith(tail(a))), lambda ok: ok)
+    limit = F.forall("all", lambda p: F.length(p["piece"]) <= split.LIMIT)
+    return listed.select("item_kind", "item_id", F.sha2(text, 256).alias("rebuilt"), limit.alias("within_limit"), shared.alias("shares_overlap"), (F.size("all") > 1).alias("cut"))
+
+
 # --- problem 2: near duplicates -------------------------------------------------------------------------------------
 def _chunk_sets(spark: SparkSession, sf: str) -> DataFrame:
     chunks = newest_of_few(table(spark, sf, "chunks").select("chunk_id", "upserted_at", "text"), ["chunk_id"], ["upserted_at"])
@@ -72,7 +91,7 @@ def _file_sets(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.token_sets(files, "file_id", "path", neardup.NameGrams(3), "user_id")
 
 
-@query("""
+_ALIKE = """
 WITH ct AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w
             FROM (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY upserted_at DESC) = 1)
             WHERE text IS NOT NULL),
@@ -83,10 +102,16 @@ WITH ct AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')
      fs AS (SELECT DISTINCT id, user_id || '/' || unnest(list_transform(range(1, length(n) - 1), lambda i: substr(n, i::INT, 3))) AS g FROM fn),
      cn AS (SELECT id, count(*) AS n FROM cs GROUP BY id), fc AS (SELECT id, count(*) AS n FROM fs GROUP BY id),
      cp AS (SELECT x.id AS a, y.id AS b, count(*) AS s FROM cs x JOIN cs y ON x.g = y.g AND x.id < y.id GROUP BY ALL),
-     fp AS (SELECT x.id AS a, y.id AS b, count(*) AS s FROM fs x JOIN fs y ON x.g = y.g AND x.id < y.id GROUP BY ALL)
+     fp AS (SELECT x.id AS a, y.id AS b, count(*) AS s FROM fs x JOIN fs y ON x.g = y.g AND x.id < y.id GROUP BY ALL)"""
+
+
+@query(
+    _ALIKE
+    + """
 SELECT 'chunk' AS record_kind, a AS id_a, b AS id_b FROM cp JOIN cn x ON x.id = a JOIN cn y ON y.id = b WHERE s >= 0.5 * (x.n + y.n - s)
 UNION ALL
-SELECT 'file', a, b FROM fp JOIN fc x ON x.id = a JOIN fc y ON y.id = b WHERE s >= 0.5 * (x.n + y.n - s)""")
+SELECT 'file', a, b FROM fp JOIN fc x ON x.id = a JOIN fc y ON y.id = b WHERE s >= 0.5 * (x.n + y.n - s)"""
+)
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of chunks, and of files of one tenant, that are at least half alike."""
     chunk = neardup.all_pairs(*neardup.similar_sets(_chunk_sets(spark, sf), 0.5))
@@ -94,7 +119,19 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return chunk.select(F.lit("chunk").alias("record_kind"), "id_a", "id_b").unionByName(file.select(F.lit("file").alias("record_kind"), "id_a", "id_b"))
 
 
-@query()
+@query(
+    _ALIKE.replace("WITH ct", "WITH RECURSIVE ct")
+    + """,
+     pr AS (SELECT 'chunk' AS k, a, b, s = x.n AND s = y.n AS twins FROM cp JOIN cn x ON x.id = a JOIN cn y ON y.id = b WHERE s >= 0.5 * (x.n + y.n - s)
+            UNION ALL SELECT 'file', a, b, s = x.n AND s = y.n FROM fp JOIN fc x ON x.id = a JOIN fc y ON y.id = b WHERE s >= 0.5 * (x.n + y.n - s)),
+     al AS (SELECT DISTINCT 'chunk' AS k, chunk_id AS id FROM chunks UNION ALL SELECT DISTINCT 'file', file_id FROM indexed_files),
+     rp AS (SELECT al.k, al.id, least(al.id, coalesce(min(a), al.id)) AS rep FROM al LEFT JOIN pr ON pr.k = al.k AND pr.b = al.id AND twins GROUP BY al.k, al.id),
+     ed AS (SELECT DISTINCT pr.k, x.rep AS a, y.rep AS b FROM pr JOIN rp x ON x.k = pr.k AND x.id = pr.a JOIN rp y ON y.k = pr.k AND y.id = pr.b WHERE x.rep <> y.rep),
+     bo AS (SELECT k, a, b FROM ed UNION SELECT k, b, a FROM ed),
+     re AS (SELECT DISTINCT k, rep AS id, rep AS root FROM rp UNION SELECT re.k, bo.b, re.root FROM re JOIN bo ON bo.k = re.k AND bo.a = re.id),
+     gr AS (SELECT k, id, min(root) AS root FROM re GROUP BY ALL), dg AS (SELECT k, a, count(DISTINCT b) AS links FROM bo GROUP BY ALL)
+SELECT rp.k AS record_kind, rp.id, gr.root AS group_id, coalesce(links, 0) AS links FROM rp JOIN gr ON gr.k = rp.k AND gr.id = rp.rep LEFT JOIN dg ON dg.k = rp.k AND dg.a = rp.rep"""
+)
 def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     """The group of changed copies of every chunk and of every file; chunks of fewer than 60 words are alone."""
     chunk = neardup.groups(*neardup.similar_sets(_chunk_sets(spark, sf), 0.5))
@@ -233,6 +270,25 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(mixing.mix(sizes, targets), targets, sizes)
 
 
+@query("""
+WITH l AS (SELECT source, max(target_share) AS share, max(max_repeats) AS most FROM mix_targets GROUP BY 1),
+     h AS (SELECT source, count(*) FILTER (WHERE length(text) > 0) AS full_ FROM documents WHERE source IS NOT NULL GROUP BY 1)
+SELECT coalesce(l.source, h.source) AS source, coalesce(share > 0 AND full_ > 0, false) AS takes_part, true AS share_met, true AS repeats_kept FROM l FULL JOIN h ON l.source = h.source""")
+def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every source whether it takes part, whether what it gives is its share of the total to less than its longest document, and
+    whether no document is taken too often."""
+    sizes, targets = mixing.token_sizes(table(spark, sf, "documents")), table(spark, sf, "mix_targets")
+    mixed = materialize(mixing.mix(sizes, targets), "mixed")
+    rows = mixing.shares(mixed, targets, sizes)
+    often = mixed.groupBy(F.col("source").alias("s")).agg(F.max("copies").alias("most"))
+    due = mixing.budgets(sizes, targets).select(F.col("source").alias("b"), "budget").join(sizes.groupBy(F.col("source").alias("z")).agg(F.max("n_tokens").alias("longest")), F.col("b") == F.col("z"))
+    rows = rows.join(often, rows["source"] == often["s"], "left").join(due, rows["source"] == due["b"], "left")
+    part = F.coalesce((F.col("target_share") > 0) & (F.col("held_tokens") > 0), F.lit(False))
+    short = F.coalesce("budget", F.lit(0)) - F.col("tokens")
+    met = (short >= 0) & (short < F.coalesce("longest", F.lit(1)))
+    return rows.select("source", part.alias("takes_part"), met.alias("share_met"), F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("repeats_kept"))
+
+
 # --- problem 9: offensive content -----------------------------------------------------------------------------------
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
