@@ -58,11 +58,16 @@ def trim_all(text: str | Column) -> Column:
     return F.regexp_replace(_c(text), f"^{_SPACE}+|{_SPACE}+$", "")
 
 
+# Wiki links and what takes their place, in order: embeds go, aliased links give the alias, links their target.
+WIKI_LINKS = [(r"!\[\[[^\]]*\]\]", ""), (r"\[\[([^\]|]+)\|([^\]]+)\]\]", "$2"), (r"\[\[([^\]]+)\]\]", "$1")]
+
+
 def plain_wiki(text: str | Column) -> Column:
-    """Embeds removed, aliased links reduced to the alias, links to their target, in that order."""
-    text = F.regexp_replace(_c(text), r"!\[\[[^\]]*\]\]", "")
-    text = F.regexp_replace(text, r"\[\[([^\]|]+)\|([^\]]+)\]\]", "$2")
-    return F.regexp_replace(text, r"\[\[([^\]]+)\]\]", "$1")
+    """The text with its wiki links replaced."""
+    text = _c(text)
+    for pattern, new in WIKI_LINKS:
+        text = F.regexp_replace(text, pattern, new)
+    return text
 
 
 def truncate_tokens(text: str | Column, most: int) -> Column:

@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import MAX_TOKENS, MIN_PAGE_TOKENS, MIN_TOKENS, SHORT_TEXT_TOKENS, stem, token_count, trim_all
+from marlstone.functions.text import MAX_TOKENS, MIN_PAGE_TOKENS, MIN_TOKENS, SHORT_TEXT_TOKENS, WIKI_LINKS, stem, token_count, trim_all
 from marlstone.operators.packing import merge_runs, pack_paragraphs
+from marlstone.sources.pdf import extract_pages
 
 #: Fixed value: data rows of a CSV chunk.
 CSV_ROWS = 30
@@ -39,7 +40,7 @@ _RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})
 _LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
 _MARKS = re.compile(r"(\*{1,3}|_{2,3}|~~|(?<!\w)_)(?=\S)(.+?)(?<=\S)\1(?!\w)")
 _CODE = re.compile(r"`+([^`]+)`+")
-_WIKI = [(re.compile(r"!\[\[[^\]]*\]\]"), ""), (re.compile(r"\[\[([^\]|]+)\|([^\]]+)\]\]"), r"\2"), (re.compile(r"\[\[([^\]]+)\]\]"), r"\1")]
+_WIKI = [(re.compile(pattern), new.replace("$", "\\")) for pattern, new in WIKI_LINKS]
 
 
 def plain_wiki_text(text: str) -> str:
@@ -269,19 +270,19 @@ def excalidraw(docs: DataFrame, keep: list[str], content: str, name: str, least:
 
 
 # --- PDF pages ------------------------------------------------------------------------------------------------------
-def pdf_pages(pages: DataFrame, document: list[str], page: str, text: str, name: Column, least: int = MIN_PAGE_TOKENS, most: int = MAX_TOKENS) -> DataFrame:
+def pdf_pages(pages: DataFrame, document: list[str], page: str, text: str, name: Column, least: int = MIN_PAGE_TOKENS, most: int = MAX_TOKENS, count: Callable[[Column], Column] = token_count) -> DataFrame:
     """Chunks of extracted pages: pages of fewer than ``least`` tokens dropped, pages over ``most`` packed by paragraphs.
     ``chunk_index`` runs through the document."""
-    rows = pages.select(*document, F.col(page).alias("__page"), trim_all(text).alias("__text"), name.alias("__name")).withColumn("__n", token_count("__text")).filter(F.col("__n") >= least)
-    parts = F.when(F.col("__n") > most, pack_paragraphs("__text", most)).otherwise(F.array("__text"))
+    rows = pages.select(*document, F.col(page).alias("__page"), trim_all(text).alias("__text"), name.alias("__name")).withColumn("__n", count(F.col("__text"))).filter(F.col("__n") >= least)
+    parts = F.when(F.col("__n") > most, pack_paragraphs("__text", most, count)).otherwise(F.array("__text"))
     cut = rows.select(*document, "__page", "__name", F.posexplode(parts).alias("__part", "text"))
     listed = F.row_number().over(Window.partitionBy(*document).orderBy("__page", "__part")) - 1
     return cut.select(*document, listed.alias("chunk_index"), F.concat("__name", F.lit(" > Page "), F.col("__page").cast("string")).alias("section_path"), "text")
 
 
 def pdf_extractor(extract: Callable[[bytes], list[str]] | None = None):
-    """A column function binary -> array<string> of page texts. ``extract`` parses one file; a file it fails on, and every file
-    where no parser is given or installed, has no pages."""
+    """A column function binary -> array<string> of page texts. ``extract`` parses one file, by default an installed parser or else
+    ``sources.pdf``; a file it fails on has no pages."""
 
     @F.pandas_udf("array<string>")
     def pages(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -290,7 +291,7 @@ def pdf_extractor(extract: Callable[[bytes], list[str]] | None = None):
             out = []
             for raw in files:
                 try:
-                    out.append([" ".join(p.split()) for p in parse(raw)] if parse and raw else [])
+                    out.append([" ".join(p.split()) for p in parse(raw)] if raw else [])
                 except Exception:
                     out.append([])
             yield pd.Series(out)
@@ -298,11 +299,11 @@ def pdf_extractor(extract: Callable[[bytes], list[str]] | None = None):
     return pages
 
 
-def _installed_parser() -> Callable[[bytes], list[str]] | None:
+def _installed_parser() -> Callable[[bytes], list[str]]:
     try:
         from pypdf import PdfReader
     except ImportError:
-        return None
+        return extract_pages
     return lambda raw: [p.extract_text() or "" for p in PdfReader(io.BytesIO(raw)).pages]
 
 

@@ -38,14 +38,27 @@ def chunk_documents(docs: DataFrame, pages: DataFrame | None = None) -> DataFram
 
 def ingest(docs: DataFrame, state: DataFrame, current: DataFrame, embed: Callable[[Column], Column], snapshot: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(events, index', state') of one run. Only created and updated documents are read, chunked and embedded; moved ones keep
-    their vectors. Write the index before the state."""
+    their vectors. Images are not embedded: the state rows of new, changed and moved ones get the notes among ``docs`` that embed
+    them, as a JSON list, if the state has ``linked_notes``. Write the index before the state."""
     events = changes.diff(snapshot, state)
     work = events.filter("type IN ('created', 'updated')").select(*DOC, F.col("content_hash"))
     fresh = docs.join(work, DOC)
     sheets = pages.join(work.select(*DOC), DOC, "left_semi") if pages is not None else None
     rows = chunk_documents(fresh.select(*DOC, "content"), sheets).join(work, DOC)
     rows = rows.withColumn("vector", embed(F.col("text"))).withColumn("row_id", F.xxhash64(*DOC, "chunk_index"))
-    return events, index.apply_changes(current, events, rows), changes.next_state(state, events, snapshot)
+    after = changes.next_state(state, events, snapshot)
+    if "linked_notes" in after.columns:
+        after = link_images(after, events, docs)
+    return events, index.apply_changes(current, events, rows), after
+
+
+def link_images(state: DataFrame, events: DataFrame, notes: DataFrame) -> DataFrame:
+    """State with the links of the images that the events speak of; an image that no note embeds has an empty list."""
+    images = events.filter("type <> 'deleted'").select(*DOC).distinct().filter(file_type("path") == "image")
+    found = changes.backlinks(images, notes.select(*DOC, "content").filter(file_type("path") == "md"))
+    linked = images.join(found.withColumnRenamed("image", "path"), DOC, "left")
+    links = F.to_json(F.coalesce("linked_notes", F.array().cast("array<string>")))
+    return index.set_state(state, linked.select(*DOC, links.alias("linked_notes")), ["linked_notes"])
 
 
 @dataclass

@@ -50,6 +50,18 @@ def rolling_rate(events: DataFrame, series: list[str], seconds: int, ts: str = "
     return counted.withColumn("rate", F.col("in_window") / float(seconds)).drop("__own", "__stretch")
 
 
+def counter_rate(samples: DataFrame, series: list[str], seconds: int, ts: str = "ts", value: str = "value", tie: str | None = None) -> DataFrame:
+    """Per sample of a counter its increase over the trailing window a second, resets taken into account."""
+    return rolling_rate(increments(samples, series, ts, value, tie), series, seconds, ts, F.col("increase"))
+
+
+def sum_by(rates: DataFrame, labels: list[str], series: list[str], width: str, ts: str = "ts", value: str = "rate", tie: str | None = None) -> DataFrame:
+    """(window_start, labels, value): the sum over the series of their last value in each tumbling window."""
+    window = F.window(F.col(ts).cast("timestamp"), width).alias("w")
+    last = rates.groupBy(window, *labels, *[s for s in series if s not in labels]).agg(F.max_by(value, F.struct(ts, tie) if tie else F.col(ts)).alias("last"))
+    return last.groupBy("w", *labels).agg(F.sum("last").alias("value")).select(F.col("w.start").alias("window_start"), *labels, "value")
+
+
 def increase(events: DataFrame, labels: list[str], width: str, ts: str = "ts", amount: Column | None = None) -> DataFrame:
     """(window start, labels, increase) in tumbling windows."""
     grouped = events.groupBy(F.window(F.col(ts).cast("timestamp"), width).alias("w"), *labels).agg(F.sum(amount if amount is not None else F.lit(1)).alias("increase"))

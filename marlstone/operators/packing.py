@@ -37,6 +37,10 @@ def pack(parts: Column, count: Callable[[Column], Column] = token_count, most: C
         spans = F.when(F.size(cuts) > 0, F.zip_with(cuts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
         return F.transform(spans, lambda s: F.array_join(F.slice(ps, s["a"] + 1, s["b"] - s["a"]), glue))
 
+    if hasattr(count, "each"):  # a counter in Python takes the array at once, as it cannot stand in a function of its elements
+        cuts = F.aggregate(F.transform(count.each(parts), lambda n: n.cast("long")), start, step, lambda s: s["cuts"])
+        return F.when(parts.isNotNull(), let(cuts, lambda c: joined(parts, c)))
+
     def packed(ps: Column) -> Column:
         cuts = F.aggregate(F.transform(ps, lambda p: count(p).cast("long")), start, step, lambda s: s["cuts"])
         return let(cuts, lambda c: joined(ps, c))
@@ -44,15 +48,15 @@ def pack(parts: Column, count: Callable[[Column], Column] = token_count, most: C
     return let(parts, packed)
 
 
-def pack_lines(text: str | Column, most: int = MAX_TOKENS, head: Column | int = 0) -> Column:
+def pack_lines(text: str | Column, most: int = MAX_TOKENS, head: Column | int = 0, count: Callable[[Column], Column] = token_count) -> Column:
     """Lines packed into texts of at most ``most`` tokens."""
-    return pack(F.split(F.col(text) if isinstance(text, str) else text, "\n"), token_count, most, head, "\n")
+    return pack(F.split(F.col(text) if isinstance(text, str) else text, "\n"), count, most, head, "\n")
 
 
-def pack_paragraphs(text: str | Column, most: int = MAX_TOKENS) -> Column:
+def pack_paragraphs(text: str | Column, most: int = MAX_TOKENS, count: Callable[[Column], Column] = token_count) -> Column:
     """Paragraphs (parted by blank lines; blank ones dropped) packed into texts of at most ``most`` tokens."""
     parts = F.filter(F.split(F.col(text) if isinstance(text, str) else text, r"\n[ \t\r]*\n[\s]*"), lambda p: F.length(F.trim(p)) > 0)
-    return pack(parts, token_count, most, 0, "\n\n")
+    return pack(parts, count, most, 0, "\n\n")
 
 
 def merge_short(sections: DataFrame, document: list[str], order: str, tokens: str, path: str, text: str, least: int = MIN_TOKENS) -> DataFrame:

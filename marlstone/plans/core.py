@@ -634,6 +634,32 @@ def metric_rate_5m(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.rolling_rate(table(spark, sf, "events"), ["event_type"], 300).select("event_id", "in_window", F.round("rate", 9).alias("rate"))
 
 
+_COUNTER = """
+WITH i AS (SELECT *, CASE WHEN prev IS NULL THEN 0.0 WHEN value < prev THEN value ELSE value - prev END AS up FROM (SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prev FROM events)),
+     r AS (SELECT *, sum(up) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) / 300.0::DOUBLE AS rate FROM i)"""
+
+
+def _counter_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.counter_rate(table(spark, sf, "events"), ["user_id", "event_type"], 300, tie="event_id")
+
+
+@query(_COUNTER + " SELECT event_id, round(rate, 6) AS rate FROM r")
+def metric_counter_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of a user's events of a type as a counter with resets: its rate over five minutes."""
+    return _counter_rates(spark, sf).select("event_id", F.round("rate", 6).alias("rate"))
+
+
+@query(
+    _COUNTER
+    + """, l AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, user_id, event_type, arg_max(rate, (ts, event_id)) AS rate FROM r GROUP BY ALL)
+     SELECT window_start, event_type, round(sum(rate), 6) AS value FROM l GROUP BY ALL"""
+)
+def metric_sum_by(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates summed over users by type, hour by hour."""
+    summed = metrics.sum_by(_counter_rates(spark, sf), ["event_type"], ["user_id", "event_type"], "1 hour", tie="event_id")
+    return summed.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", F.round("value", 6).alias("value"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS increase FROM events GROUP BY ALL")
 def metric_increase_1h(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.increase(table(spark, sf, "events"), ["event_type"], "1 hour").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -7,6 +7,8 @@ import os
 import re
 import secrets
 import tempfile
+import time
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 SCHEMA = "userId string, apiKey string, vaultPath string, openaiKey string, obsidian struct<email:string,password:string,vault:string,token:string>"
 # Formats of a record's fields.
 ID_PATTERN, KEY_PATTERN, EMAIL_PATTERN = r"^[a-z0-9-]+$", r"^cv-", r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+#: Fixed value: seconds a changed file must rest before it is read.
+QUIET = 0.5
 #: Fields that never leave the registry.
 SECRETS = ["apiKey", "openaiKey", "obsidian"]
 
@@ -54,6 +58,10 @@ def by_key(records: DataFrame, api_key: str) -> DataFrame:
     return records.filter(F.col("apiKey") == api_key).drop(*SECRETS)
 
 
+def by_id(records: DataFrame, user_id: str) -> DataFrame:
+    return records.filter(F.col("userId") == user_id).drop(*SECRETS)
+
+
 def diff(old: DataFrame, new: DataFrame, key: str = "userId") -> DataFrame:
     """(key, change): added, removed or updated records; any field may differ. Keys are unique on both sides."""
     a = old.select(key, F.to_json(F.struct(*[c for c in old.columns if c != key])).alias("__a"), F.lit(True).alias("__old"))
@@ -91,6 +99,30 @@ class Registry:
         self.users, self._seen = users, raw
         return {"added": sorted(new.keys() - old.keys()), "removed": sorted(old.keys() - new.keys()), "updated": sorted(k for k in old.keys() & new.keys() if old[k] != new[k])}
 
+    def get(self, user_id: str) -> dict | None:
+        """A copy of the tenant's record."""
+        return next((dict(u) for u in self.users if u["userId"] == user_id), None)
+
+    def watch(self, quiet: float = QUIET, clock=time.monotonic) -> Callable[[], dict[str, list[str]] | None]:
+        """A function to call on every tick of a poll: it reloads once the file has rested for ``quiet`` seconds after a change, so a
+        file that is being written in steps is read once."""
+        seen, since = self._stamp(), None
+
+        def tick() -> dict[str, list[str]] | None:
+            nonlocal seen, since
+            now = self._stamp()
+            if now != seen:
+                seen, since = now, clock()
+            if since is None or clock() - since < quiet:
+                return None
+            since = None
+            return self.reload()
+
+        return tick
+
+    def _stamp(self) -> tuple[int, int] | None:
+        return (s.st_mtime_ns, s.st_size) if self.path.exists() and (s := self.path.stat()) else None
+
     @staticmethod
     def _valid(raw: str) -> list[dict]:
         try:

@@ -39,6 +39,16 @@ class NotText(VaultError):
     pass
 
 
+# Codes of errors by kind; the first that fits counts.
+ERROR_CODES = [(UnsafePath, 400), (NotText, 400), (NotFound, 404), (AlreadyExists, 409), (VaultError, 400), (PermissionError, 403), (KeyError, 404), (ValueError, 400)]
+
+
+def error_of(e: BaseException) -> tuple[int, str]:
+    """(code, message) of an error for the caller; what is no fault of theirs is not told."""
+    code = next((c for kind, c in ERROR_CODES if isinstance(e, kind)), 500)
+    return code, str(e) if code < 500 else "internal error"
+
+
 def safe_path(root: str, relative: str, writing: bool = False) -> Path:
     """The file of a relative path. Empty, dot and parent segments, hidden names, symbolic links and anything outside of the
     root are refused."""
@@ -62,7 +72,7 @@ def safe_path(root: str, relative: str, writing: bool = False) -> Path:
 
 def walk(root: str, path: str = "", recursive: bool = True, ext: str | None = None) -> Iterator[tuple[str, str, str, int, int]]:
     """(path, name, type, mtime in ms, size) under the root in order of path; links and hidden names are left out. With an
-    extension (any case) only files that have it."""
+    extension only files that end in exactly it."""
     base = Path(root)
     start = safe_path(root, path) if path.strip("/") else base
     found = []
@@ -72,7 +82,7 @@ def walk(root: str, path: str = "", recursive: bool = True, ext: str | None = No
             full = os.path.join(folder, name)
             if name.startswith(".") or os.path.islink(full):
                 continue
-            if ext and (kind != "file" or not name.lower().endswith("." + ext.lower().lstrip("."))):
+            if ext and (kind != "file" or not name.endswith("." + ext.lstrip("."))):
                 continue
             stat = os.stat(full)
             found.append((os.path.relpath(full, base).replace(os.sep, "/"), name, kind, int(stat.st_mtime * 1000), stat.st_size))
@@ -226,12 +236,12 @@ def _with_block(data: dict, body: str) -> str:
 
 
 def create_note(root: str, relative: str, content: str, metadata: dict | None = None) -> None:
-    write_atomic(safe_path(root, relative, writing=True), _with_block(metadata or {}, content.rstrip("\n") + "\n"), exclusive=True)
+    write_atomic(safe_path(root, relative, writing=True), _with_block(metadata or {}, content + "\n"), exclusive=True)
 
 
 def replace_content(root: str, relative: str, content: str) -> None:
     """The whole file, frontmatter included, becomes the content."""
-    write_atomic(safe_path(root, relative), content.rstrip("\n") + "\n")
+    write_atomic(safe_path(root, relative), content + "\n")
 
 
 def add_content(root: str, relative: str, text: str, mode: str = "append") -> None:

@@ -21,7 +21,8 @@ def test_listing(spark, root):
     rows = vault.listing(spark, {"u": root}).collect()
     assert [r.path for r in rows if r.type == "file"] == ["_under.md", "a.md", "data.bin", "sub/deep/c.PDF", "Заметки/б.md"]
     assert {r.path for r in rows if r.type == "directory"} == {"sub", "sub/deep", "Заметки"}
-    assert [r.path for r in vault.listing(spark, {"u": root}, ext="pdf").collect()] == ["sub/deep/c.PDF"]
+    assert [r.path for r in vault.listing(spark, {"u": root}, ext="PDF").collect()] == ["sub/deep/c.PDF"]
+    assert vault.listing(spark, {"u": root}, ext="pdf").count() == 0
     assert {x[0] for x in vault.walk(root, recursive=False)} == {"_under.md", "a.md", "data.bin", "sub", "Заметки"}
 
 
