@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from marlstone.session import materialize
 
-#: Most rows of a few numbers each of which a key list may be broadcast where no bytes are known.
-BROADCAST_ROWS = 500_000
+#: Most bytes of the files of a table of which a copy may be sent to every executor.
+BROADCAST_BYTES = 8 << 20
 
 
 def sized(df: DataFrame, name: str = "sized") -> DataFrame:
@@ -21,6 +21,11 @@ def sized(df: DataFrame, name: str = "sized") -> DataFrame:
     return materialize(df, name)
 
 
+def fits(stored: DataFrame) -> bool:
+    """Whether a written table is small enough to be broadcast, by the bytes of its files."""
+    return int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of the edges; a component is named by its smallest node.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators.sized import BROADCAST_ROWS
+from marlstone.operators.sized import fits
 from marlstone.session import materialize
 
 
@@ -29,7 +29,7 @@ def newest_of_few(df: DataFrame, keys: list[str], order: list[str] | None = None
     repeated ones are shuffled. If more keys are repeated than may be broadcast, it is ``newest``."""
     rest = [c for c in df.columns if c not in keys]
     repeated = materialize(df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > 1).select(*[F.col(k).alias(f"__{k}") for k in keys]), "repeated")
-    if not rest or repeated.count() > BROADCAST_ROWS:
+    if not rest or not fits(repeated):
         return newest(df, keys, order)
     same = [df[k].eqNullSafe(repeated[f"__{k}"]) for k in keys]
     several = newest(df.join(F.broadcast(repeated), same, "left_semi"), keys, order)

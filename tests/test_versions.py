@@ -1,6 +1,6 @@
 import pytest
 
-from marlstone.operators import sized, versions
+from marlstone.operators import ranking, sized, versions
 from marlstone.operators.ranking import running_position
 
 
@@ -16,15 +16,21 @@ def test_newest(spark, pick):
 
 
 def test_many_repeated_keys_are_shuffled(spark, monkeypatch):
-    monkeypatch.setattr(versions, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(sized, "BROADCAST_BYTES", 0)
     df = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "k long, v int")
     assert sorted(map(tuple, versions.newest_of_few(df, ["k"], ["v"]).collect())) == [(1, 2), (2, 1)]
 
 
 def test_broadcast_is_decided_by_size(spark):
-    df = spark.range(10)
-    assert "broadcast" in sized.sized(df, limit=10)._jdf.queryExecution().toString()
-    assert "broadcast" not in sized.sized(df, limit=9)._jdf.queryExecution().toString()
+    stored = sized.sized(spark.range(1000).withColumnRenamed("id", "k"))
+    plan = lambda: spark.range(100_000_000).withColumnRenamed("id", "k").join(stored, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan() and sized.fits(stored)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 100)
+        assert "BroadcastHashJoin" not in plan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
 
 
 def test_components(spark):
@@ -37,3 +43,11 @@ def test_components(spark):
 def test_positions(spark):
     df = spark.createDataFrame([("a", 2.0, 1), ("a", 1.0, 2), ("a", 1.0, 1), (None, 5.0, 1), ("b", None, 1)], "k string, v double, t int")
     assert {(r.k, r.v, r.t): r.position for r in running_position(df, ["k"], "v", ["t"]).collect()} == {("a", 1.0, 1): 1, ("a", 1.0, 2): 2, ("a", 2.0, 1): 3, (None, 5.0, 1): 1, ("b", None, 1): 1}
+
+
+def test_positions_of_a_hot_value(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "GROUP_ROWS", 50)
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 20)
+    df = spark.createDataFrame([("hot", 1.0 if i % 10 else None, (i * 7) % 400, "clash") for i in range(400)] + [("few", 1.0, i, "clash") for i in range(5)], "k string, v double, t int, position string")
+    found = {k: [r.position for r in sorted((r for r in rows if r.k == k), key=lambda r: (r.v is not None, r.v or 0, r.t))] for rows in [running_position(df, ["k"], "v", ["t"]).collect()] for k in ("hot", "few")}
+    assert found == {"hot": list(range(1, 401)), "few": list(range(1, 6))}
