@@ -28,8 +28,8 @@ K, TABLES, PROBES = 10, 3, 4
 #: Share of pairs just at the least cosine that are to be found; the tables needed for it are counted on random pairs.
 RECALL, TRIALS = 0.98, 2000
 BUCKET, BLOCK = 96, 4096
-#: For plain top-k, where neighbours may be far: one axis, and an eighth of its buckets in each of four tables.
-WIDE = {"bits": 7, "tables": 4, "probes": 16}
+#: For plain top-k, where neighbours may be far: one axis, and three sixteenths of its buckets in each of four tables.
+WIDE = {"bits": 7, "tables": 4, "probes": 24}
 #: Room for the error of 8-bit copies when a least cosine is asked for; candidates kept for each place of the result.
 SLACK, SPARE = 0.02, 3
 
