@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import clamp, terms
 from marlstone.functions.vector import usable
 from marlstone.operators.sized import sized
-from marlstone.operators.stored import NARROW, LiveIndex, StoredIndex, opened, tenant_bucket
+from marlstone.operators.stored import NARROW, LiveIndex, StoredIndex, opened, places, tenant_bucket
 from marlstone.session import materialize
 
 # Constant of reciprocal-rank fusion, over-fetch of its inputs, limits of a request, context's pool.
@@ -173,12 +173,14 @@ def _lexical_hits(batch: _Batch, filters: Filters | None, folder_mode: str, over
     named = each.join(often, ["user_id", "term"], "left").groupBy("query_id", "k").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"), F.count_if(F.col("key").isNull()).alias("unknown"))
     # of a query all of whose terms occur, the rarest term and the others
     named = named.filter("unknown = 0").select("query_id", "k", F.col("keys")[0]["key"].alias("key"), F.slice(F.transform("keys", lambda x: x["key"]), 2, F.greatest(F.size("keys") - 1, F.lit(1))).alias("rest"))
-    found = sized(posted.join(sized(named, "rarest"), "key").select("query_id", "k", "row_id", "field", "rest"), "candidates")
+    found = sized(places(posted.join(sized(named, "rarest"), "key"), "query_id", "k", "rest").drop("key"), "candidates")
     one = found.filter(F.size("rest") == 0).select("query_id", "k", "row_id")
     more = found.filter(F.size("rest") > 0).select("query_id", "k", "row_id", "field", F.size("rest").alias("n"), F.explode("rest").alias("key")).withColumn("spot", F.xxhash64("key", "row_id", "field"))
-    there = posted.withColumn("spot", F.xxhash64("key", "row_id", "field"))
-    same = (there["spot"] == more["spot"]) & (there["key"] - more["key"] == 0) & (there["row_id"] - more["row_id"] == 0) & F.nullif(there["field"], more["field"]).isNull()
-    all_ = there.join(more, same).select(more["*"]).groupBy("query_id", "k", "row_id", "field", "n").count()
+    there = places(posted.join(more.select("key").distinct(), "key", "left_semi")).withColumn("spot", F.xxhash64("key", "row_id", "field"))
+    named = more.select("query_id", "k", "n", *[F.col(c).alias(f"m_{c}") for c in ("spot", "key", "row_id", "field")])
+    # joined by one number; the three it is made of stay a condition beside it
+    same = F.expr("spot = m_spot AND key - m_key = 0 AND row_id - m_row_id = 0 AND field - m_field = 0")
+    all_ = there.join(named, same).groupBy("query_id", "k", "row_id", "field", "n").count()
     matched = sized(one.unionByName(all_.filter("count = n").select("query_id", "k", "row_id")).distinct(), "matched")
     hits = _kept(batch.rows().select(*NARROW), filters, folder_mode).select("row_id", "path", "chunk_index").join(matched, "row_id")
     order = Window.partitionBy("query_id").orderBy("path", "chunk_index", "row_id")

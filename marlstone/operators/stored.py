@@ -1,7 +1,8 @@
 """An index on shared storage: rows by tenant, vectors apart from texts, inverted lists by tenant and term.
 
 Written once and searched many times. Files are parted by a bucket of the tenant, inverted lists by a bucket of tenant and
-term, so a search reads the buckets it asks for; inside files rows are sorted, and a large bucket is spread over files.
+term, so a search reads the buckets it asks for; inside files rows are sorted, and a large bucket is spread over files. A list
+holds the row ids of a term by field; the list of a frequent term comes in parts, each of the rows of one shard.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ TENANT_BUCKETS, TERM_BUCKETS = 16, 16
 FILE_ROWS, FILE_ENTRIES = 500_000, 20_000_000
 #: Entries of the inverted lists that a row has, about; only the number of files depends on it.
 ENTRIES = 100
+FIELDS = ["text", "title", "section_path"]
 #: Columns that rank and filter results; texts are fetched for the results alone.
 NARROW = ["row_id", "path", "chunk_index", "tags", "project", "status", "type"]
 
@@ -39,6 +41,19 @@ def term_bucket() -> Column:
     return F.pmod("key", F.lit(TERM_BUCKETS)).cast("int")
 
 
+def _listed(entries: DataFrame, shards: int) -> DataFrame:
+    """(key, user_id, term, df, text, title, section_path): row ids by field, at most those of a shard in one list."""
+    shard = F.pmod(F.xxhash64("row_id"), F.lit(shards)).alias("shard")
+    ids = [F.collect_list(F.when(F.col("field") == f, F.col("row_id"))).alias(f) for f in FIELDS]
+    return entries.groupBy("key", "user_id", "term", shard).agg(F.count("*").alias("df"), *ids).drop("shard")
+
+
+def places(lists: DataFrame, *more: str) -> DataFrame:
+    """(key, field, row_id) and more columns, one row per entry of lists."""
+    each = F.concat(*[F.transform(f, lambda r: F.struct(F.lit(i).alias("field"), r.alias("row_id"))) for i, f in enumerate(FIELDS)])
+    return lists.select("key", *more, F.explode(each).alias("e")).select("key", *more, "e.field", "e.row_id")
+
+
 class LiveIndex:
     """The same interface over plain index rows; what is asked of them is worked out anew each time."""
 
@@ -52,16 +67,16 @@ class LiveIndex:
         return self.all.filter(usable(F.col("vector"), dim)).select("user_id", *NARROW, "vector")
 
     def lists(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(key, field, row_id) of the wanted (user_id, term), and the wanted that occur: (user_id, term, key, df)."""
-        posted = materialize(postings(self.all).join(wanted, ["user_id", "term"]).withColumn("key", term_key()), "posted")
-        return posted.select("key", "field", "row_id"), posted.groupBy("user_id", "term", "key").agg(F.count("*").alias("df"))
+        """(key, text, title, section_path) of the wanted (user_id, term), and the wanted that occur: (user_id, term, key, df)."""
+        posted = materialize(_listed(postings(self.all).join(wanted, ["user_id", "term"]).withColumn("key", term_key()), TERM_BUCKETS), "posted")
+        return posted.select("key", *FIELDS), posted.groupBy("user_id", "term", "key").agg(F.sum("df").alias("df"))
 
 
 class StoredIndex:
     """An index under ``root``, as ``write`` lays it out."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self._salt = spark, root, None
+        self.spark, self.root, self._salt, self._split = spark, root, None, False
 
     @staticmethod
     def write(rows: DataFrame, root: str) -> StoredIndex:
@@ -81,14 +96,12 @@ class StoredIndex:
         put(stored.filter("vector IS NOT NULL").select("user_id", *NARROW, "vector", "bucket").repartition(TENANT_BUCKETS * n, "bucket", apart(n)), "vectors")
         n = spread(FILE_ENTRIES, ENTRIES)
         for salt in itertools.count():
-            entries = postings(stored).withColumn("key", term_key(salt)).withColumn("bucket", term_bucket())
-            put(entries.groupBy("user_id", "term", "key", "bucket").agg(F.count("*").alias("df")).repartition(TERM_BUCKETS, "bucket"), "terms")
-            known = rows.sparkSession.read.parquet(f"{root}/terms")
-            if known.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            listed = _listed(postings(stored).withColumn("key", term_key(salt)), n).withColumn("bucket", term_bucket())
+            put(listed.repartition(TERM_BUCKETS * n, "bucket", F.pmod("key", F.lit(n * 7))).sortWithinPartitions("bucket", "key"), "lists")
+            known = rows.sparkSession.read.parquet(f"{root}/lists").select("key", "user_id", "term")
+            if known.groupBy("key").agg(F.min(F.struct("user_id", "term")).alias("a"), F.max(F.struct("user_id", "term")).alias("b")).filter("a <> b").isEmpty():
                 break
-        placed = entries.select("bucket", "key", "field", "row_id").repartition(TERM_BUCKETS * n, "bucket", apart(n))
-        put(placed.sortWithinPartitions("bucket", "key", "row_id"), "lists")
-        rows.sparkSession.createDataFrame([(salt,)], "salt int").coalesce(1).write.mode("overwrite").json(f"{root}/salt")
+        rows.sparkSession.createDataFrame([(salt, n > 1)], "salt int, split boolean").coalesce(1).write.mode("overwrite").json(f"{root}/salt")
         return StoredIndex(rows.sparkSession, root)
 
     def _read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
@@ -106,13 +119,14 @@ class StoredIndex:
         """As in ``LiveIndex``; the lists hold the terms of the wanted buckets. The driver learns at most as many numbers as there are
         buckets."""
         if self._salt is None:
-            self._salt = self.spark.read.schema("salt int").json(f"{self.root}/salt").first()[0]
+            self._salt, self._split = self.spark.read.schema("salt int, split boolean").json(f"{self.root}/salt").first()
         keyed = wanted.withColumn("key", term_key(self._salt))
         buckets = keyed.agg(F.collect_set(term_bucket())).first()[0]
-        often = self._read("terms", buckets).drop("bucket")
+        lists = self._read("lists", buckets)
+        often = lists.groupBy("key", "user_id", "term").agg(F.sum("df").alias("df")) if self._split else lists.select("key", "user_id", "term", "df")
         # joined by the number; the texts stay a condition beside it
         same = (often["key"] == keyed["key"]) & F.nullif(often["term"], keyed["term"]).isNull() & F.nullif(often["user_id"], keyed["user_id"]).isNull()
-        return self._read("lists", buckets).select("key", "field", "row_id"), often.join(keyed, same, "left_semi")
+        return lists.select("key", *FIELDS), often.join(keyed, same, "left_semi")
 
 
 def opened(index: DataFrame | LiveIndex | StoredIndex) -> LiveIndex | StoredIndex:
