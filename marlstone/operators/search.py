@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import clamp, terms
 from marlstone.functions.vector import usable
 from marlstone.operators.sized import sized
-from marlstone.operators.stored import NARROW, LiveIndex, StoredIndex, opened, places, tenant_bucket
+from marlstone.operators.stored import NARROW, LiveIndex, StoredIndex, opened, places, tenant_bucket, term_check, term_key
 from marlstone.session import materialize
 
 # Constant of reciprocal-rank fusion, over-fetch of its inputs, limits of a request, context's pool.
@@ -168,18 +168,21 @@ def semantic(queries: DataFrame, index: Index, filters: Filters | None = None, f
 
 
 def _lexical_hits(batch: _Batch, filters: Filters | None, folder_mode: str, overfetch: int) -> DataFrame:
-    each = batch.queries.select("user_id", "query_id", (F.col("k") * overfetch).alias("k"), "terms", F.explode("terms").alias("term"))
-    posted, often = batch.index.lists(each.select("user_id", "term").distinct())
-    named = each.join(often, ["user_id", "term"], "left").groupBy("query_id", "k").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"), F.count_if(F.col("key").isNull()).alias("unknown"))
+    each = batch.queries.select("user_id", "query_id", (F.col("k") * overfetch).alias("k"), F.explode("terms").alias("term")).withColumns({"key": term_key(), "check": term_check()})
+    posted, often = batch.index.lists(each.select("key", "check").distinct())
+    named = each.join(often, ["key", "check"], "left").groupBy("query_id", "k").agg(F.sort_array(F.collect_list(F.struct("df", "key", "check"))).alias("keys"))
     # of a query all of whose terms occur, the rarest term and the others
-    named = named.filter("unknown = 0").select("query_id", "k", F.col("keys")[0]["key"].alias("key"), F.slice(F.transform("keys", lambda x: x["key"]), 2, F.greatest(F.size("keys") - 1, F.lit(1))).alias("rest"))
-    found = sized(places(posted.join(sized(named, "rarest"), "key"), "query_id", "k", "rest").drop("key"), "candidates")
+    named = named.filter(F.col("keys")[0]["df"].isNotNull())
+    named = named.select("query_id", "k", F.col("keys")[0]["key"].alias("key"), F.col("keys")[0]["check"].alias("check"), F.slice("keys", 2, F.size("keys")).alias("rest"))
+    found = sized(places(posted.join(sized(named, "rarest"), ["key", "check"]), "query_id", "k", "rest").drop("key", "check"), "candidates")
     one = found.filter(F.size("rest") == 0).select("query_id", "k", "row_id")
-    more = found.filter(F.size("rest") > 0).select("query_id", "k", "row_id", "field", F.size("rest").alias("n"), F.explode("rest").alias("key")).withColumn("spot", F.xxhash64("key", "row_id", "field"))
-    there = places(posted.join(more.select("key").distinct(), "key", "left_semi")).withColumn("spot", F.xxhash64("key", "row_id", "field"))
-    named = more.select("query_id", "k", "n", *[F.col(c).alias(f"m_{c}") for c in ("spot", "key", "row_id", "field")])
-    # joined by one number; the three it is made of stay a condition beside it
-    same = F.expr("spot = m_spot AND key - m_key = 0 AND row_id - m_row_id = 0 AND field - m_field = 0")
+    more = found.filter(F.size("rest") > 0).select("query_id", "k", "row_id", "field", F.size("rest").alias("n"), F.explode("rest").alias("x"))
+    more = more.select("query_id", "k", "n", F.col("x.key").alias("m_key"), F.col("x.check").alias("m_check"), F.col("row_id").alias("m_row"), F.col("field").alias("m_field"))
+    named = more.withColumn("m_spot", F.xxhash64("m_key", "m_row", "m_field"))
+    keys = more.select(F.col("m_key").alias("key"), F.col("m_check").alias("check")).distinct()
+    there = places(posted.join(keys, ["key", "check"], "left_semi")).withColumn("spot", F.xxhash64("key", "row_id", "field"))
+    # joined by one number; what it is made of stays a condition beside it
+    same = F.expr("spot = m_spot AND key - m_key = 0 AND check - m_check = 0 AND row_id - m_row = 0 AND field - m_field = 0")
     all_ = there.join(named, same).groupBy("query_id", "k", "row_id", "field", "n").count()
     matched = sized(one.unionByName(all_.filter("count = n").select("query_id", "k", "row_id")).distinct(), "matched")
     hits = _kept(batch.rows().select(*NARROW), filters, folder_mode).select("row_id", "path", "chunk_index").join(matched, "row_id")

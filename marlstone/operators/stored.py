@@ -7,7 +7,6 @@ holds the row ids of a term by field; the list of a frequent term comes in parts
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,10 +30,13 @@ def tenant_bucket() -> Column:
     return F.pmod(F.xxhash64("user_id"), F.lit(TENANT_BUCKETS)).cast("int")
 
 
-def term_key(salt: int = 0) -> Column:
-    """A number of tenant and term, as joins on a number are much faster than on two texts. In a stored index no two pairs have the
-    same: it is written again with another salt should that happen."""
-    return F.xxhash64(F.lit(salt), "user_id", "term")
+def term_key() -> Column:
+    return F.xxhash64("user_id", "term")
+
+
+def term_check() -> Column:
+    """Beside the key it makes 96 bits that stand for tenant and term, so that texts are neither stored in the lists nor joined on."""
+    return F.hash("user_id", "term")
 
 
 def term_bucket() -> Column:
@@ -42,16 +44,22 @@ def term_bucket() -> Column:
 
 
 def _listed(entries: DataFrame, shards: int) -> DataFrame:
-    """(key, user_id, term, df, text, title, section_path): row ids by field, at most those of a shard in one list."""
+    """(key, check, df, text, title, section_path) of entries (key, check, field, row_id): row ids by field, at most those of a shard in
+    one list."""
     shard = F.pmod(F.xxhash64("row_id"), F.lit(shards)).alias("shard")
-    ids = [F.collect_list(F.when(F.col("field") == f, F.col("row_id"))).alias(f) for f in FIELDS]
-    return entries.groupBy("key", "user_id", "term", shard).agg(F.count("*").alias("df"), *ids).drop("shard")
+    ids = [F.collect_list(F.when(F.col("field") == i, F.col("row_id"))).alias(f) for i, f in enumerate(FIELDS)]
+    return entries.groupBy("key", "check", shard).agg(F.count("*").alias("df"), *ids).drop("shard")
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    number = F.coalesce(*[F.when(F.col("field") == f, F.lit(i)) for i, f in enumerate(FIELDS)])
+    return postings(rows).select(term_key().alias("key"), term_check().alias("check"), number.alias("field"), "row_id")
 
 
 def places(lists: DataFrame, *more: str) -> DataFrame:
-    """(key, field, row_id) and more columns, one row per entry of lists."""
+    """(key, check, field, row_id) and more columns, one row per entry of lists."""
     each = F.concat(*[F.transform(f, lambda r: F.struct(F.lit(i).alias("field"), r.alias("row_id"))) for i, f in enumerate(FIELDS)])
-    return lists.select("key", *more, F.explode(each).alias("e")).select("key", *more, "e.field", "e.row_id")
+    return lists.select("key", "check", *more, F.explode(each).alias("e")).select("key", "check", *more, "e.field", "e.row_id")
 
 
 class LiveIndex:
@@ -67,16 +75,16 @@ class LiveIndex:
         return self.all.filter(usable(F.col("vector"), dim)).select("user_id", *NARROW, "vector")
 
     def lists(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(key, text, title, section_path) of the wanted (user_id, term), and the wanted that occur: (user_id, term, key, df)."""
-        posted = materialize(_listed(postings(self.all).join(wanted, ["user_id", "term"]).withColumn("key", term_key()), TERM_BUCKETS), "posted")
-        return posted.select("key", *FIELDS), posted.groupBy("user_id", "term", "key").agg(F.sum("df").alias("df"))
+        """(key, check, text, title, section_path) of the wanted (key, check), and the wanted that occur: (key, check, df)."""
+        posted = materialize(_listed(_entries(self.all).join(wanted, ["key", "check"], "left_semi"), TERM_BUCKETS), "posted")
+        return posted.drop("df"), posted.groupBy("key", "check").agg(F.sum("df").alias("df"))
 
 
 class StoredIndex:
     """An index under ``root``, as ``write`` lays it out."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self._salt, self._split = spark, root, None, False
+        self.spark, self.root = spark, root
 
     @staticmethod
     def write(rows: DataFrame, root: str) -> StoredIndex:
@@ -95,13 +103,8 @@ class StoredIndex:
         stored = rows.sparkSession.read.parquet(f"{root}/rows")
         put(stored.filter("vector IS NOT NULL").select("user_id", *NARROW, "vector", "bucket").repartition(TENANT_BUCKETS * n, "bucket", apart(n)), "vectors")
         n = spread(FILE_ENTRIES, ENTRIES)
-        for salt in itertools.count():
-            listed = _listed(postings(stored).withColumn("key", term_key(salt)), n).withColumn("bucket", term_bucket())
-            put(listed.repartition(TERM_BUCKETS * n, "bucket", F.pmod("key", F.lit(n * 7))).sortWithinPartitions("bucket", "key"), "lists")
-            known = rows.sparkSession.read.parquet(f"{root}/lists").select("key", "user_id", "term")
-            if known.groupBy("key").agg(F.min(F.struct("user_id", "term")).alias("a"), F.max(F.struct("user_id", "term")).alias("b")).filter("a <> b").isEmpty():
-                break
-        rows.sparkSession.createDataFrame([(salt, n > 1)], "salt int, split boolean").coalesce(1).write.mode("overwrite").json(f"{root}/salt")
+        listed = _listed(_entries(stored), n).withColumn("bucket", term_bucket())
+        put(listed.repartition(TERM_BUCKETS * n, "bucket", F.pmod("key", F.lit(n * 7))).sortWithinPartitions("bucket", "key"), "lists")
         return StoredIndex(rows.sparkSession, root)
 
     def _read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
@@ -118,15 +121,9 @@ class StoredIndex:
     def lists(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
         """As in ``LiveIndex``; the lists hold the terms of the wanted buckets. The driver learns at most as many numbers as there are
         buckets."""
-        if self._salt is None:
-            self._salt, self._split = self.spark.read.schema("salt int, split boolean").json(f"{self.root}/salt").first()
-        keyed = wanted.withColumn("key", term_key(self._salt))
-        buckets = keyed.agg(F.collect_set(term_bucket())).first()[0]
-        lists = self._read("lists", buckets)
-        often = lists.groupBy("key", "user_id", "term").agg(F.sum("df").alias("df")) if self._split else lists.select("key", "user_id", "term", "df")
-        # joined by the number; the texts stay a condition beside it
-        same = (often["key"] == keyed["key"]) & F.nullif(often["term"], keyed["term"]).isNull() & F.nullif(often["user_id"], keyed["user_id"]).isNull()
-        return lists.select("key", *FIELDS), often.join(keyed, same, "left_semi")
+        lists = self._read("lists", wanted.agg(F.collect_set(term_bucket())).first()[0]).drop("bucket")
+        often = lists.select("key", "check", "df").join(wanted, ["key", "check"], "left_semi").groupBy("key", "check").agg(F.sum("df").alias("df"))
+        return lists.drop("df"), often
 
 
 def opened(index: DataFrame | LiveIndex | StoredIndex) -> LiveIndex | StoredIndex:

@@ -55,7 +55,7 @@ def stored_index(spark: SparkSession, sf: str) -> stored.StoredIndex:
     """The index over the given tables, written by the first query of a session that searches it and searched by the others as long as
     the tables' files are the same."""
     key = (spark.sparkContext.applicationId, *(x for name in ("chunks", "points") for x in file_versions(spark, f"{sf}/{name}.parquet")))
-    if key in _STORED and path_exists(spark, f"{_STORED[key]}/salt/_SUCCESS"):
+    if key in _STORED and path_exists(spark, f"{_STORED[key]}/lists/_SUCCESS"):
         return stored.StoredIndex(spark, _STORED[key])
     out = stored.StoredIndex.write(index_rows(spark, sf), scratch(spark, "index"))
     _STORED[key] = out.root
@@ -210,10 +210,8 @@ def tenant_isolation(spark: SparkSession, sf: str) -> DataFrame:
      SELECT user_id, term, field, count(*) AS postings FROM t GROUP BY ALL"""
 )
 def inverted_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries of the stored inverted lists."""
-    lists = spark.read.parquet(f"{stored_index(spark, sf).root}/lists")
-    each = lists.select("user_id", "term", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(f).cast("long").alias("n")) for f in stored.FIELDS])).alias("e")).filter("e.n > 0")
-    return each.groupBy("user_id", "term", "e.field").agg(F.sum("e.n").alias("postings"))
+    """Entries of the inverted lists by term."""
+    return index.postings(index_rows(spark, sf).filter("text IS NOT NULL")).groupBy("user_id", "term", "field").agg(F.count("*").alias("postings"))
 
 
 # --- context packs --------------------------------------------------------------------------------------------------
